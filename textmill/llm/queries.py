@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textmill.llm.leaks import leak_report, leaked_items
 from textmill.llm.near_duplicates import near_duplicate_pairs
+from textmill.llm.sentences import sentence_units
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,8 +17,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumnsRenamed({"id_a": "sample_id_a", "id_b": "sample_id_b"})
 
 
+def _test_items(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/eval_items.parquet").where("split = 'test'").select("item_id", "question", "lang").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(spark.read.parquet(f"{d}/documents.parquet"), _test_items(spark, d)).select("doc_id", "item_id").distinct()
+
+
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Items that leaked in pieces of five words or more, in any order."""
+    leaks = leaked_items(spark.read.parquet(f"{d}/documents.parquet"), _test_items(spark, d), min_run=5, min_run_dense=10)
+    return leak_report(leaks.where(F.col("covered") * 2 >= F.col("item_size")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(spark.read.parquet(f"{d}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
