@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.leaks import leak_report, leaked_items
 from textmill.llm.near_duplicates import near_duplicate_pairs
+from textmill.llm.pairs import pair_defects
 from textmill.llm.sentences import sentence_units
 
 
@@ -21,6 +22,10 @@ def _test_items(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/eval_items.parquet").where("split = 'test'").select("item_id", "question", "lang").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(spark.read.parquet(f"{d}/preference_pairs.parquet"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(spark.read.parquet(f"{d}/documents.parquet"), _test_items(spark, d)).select("doc_id", "item_id").distinct()
 
@@ -36,7 +41,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
