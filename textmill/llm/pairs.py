@@ -81,6 +81,7 @@ _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _OTHER_SCRIPTS = {"th": re.compile(r"[฀-๿]"), "hi": re.compile(r"[ऀ-ॿ]"), "ar": re.compile(r"[؀-ۿ]"), "ko": re.compile(r"[가-힯]")}
 _LATIN = re.compile(r"[a-zà-öø-ÿœßA-ZÀ-ÖØ-ÞŒẞ]+")
 _NAME_LIKE = re.compile(r"[A-Za-z]+(?:[-_.]\w+)+|\b\w*\d\w*\b")
+_BRACKETS = re.compile(r"[()\[\]{}（）「」『』«»]")
 _END = ".!?。！？…।؟｡．"
 _CLOSE = "\"'”’»“」』)）]】*_`"
 _ENTRY = re.compile(r"[ \t]*([-*+•]|\d{1,3}[.)])(?:[ \t]+(.*)|$)")
@@ -184,22 +185,35 @@ def _template(line: str) -> list[str]:
     return [x for part in re.split(r"(\*)", line.lower()) for x in ([part] if part == "*" else tokens(part, bool(_DENSE.search(part))))]
 
 
-_REFUSALS = [_template(t) for t in REFUSALS]
-_OFFERS = [_template(t) for t in OFFERS]
+class _Templates:
+    """Templates with an index of their words: few are compared with a sentence."""
+
+    def __init__(self, lines: tuple[str, ...]):
+        self.all = [([x for x in t if x != "*"], "*" in t) for t in map(_template, lines)]
+        self.by: dict[str, list[int]] = {}
+        for k, (fixed, _) in enumerate(self.all):
+            for w in set(fixed):
+                self.by.setdefault(w, []).append(k)
+
+    def aligned(self, sentence: list[str], tolerance: float = 0.85) -> bool:
+        """The sentence says a template: its words in order, and little else."""
+        met: dict[int, int] = {}
+        for w in set(sentence):
+            for k in self.by.get(w, ()):
+                met[k] = met.get(k, 0) + 1
+        for k, n in met.items():
+            fixed, open_ = self.all[k]
+            if n < tolerance * len(set(fixed)) - 1e-9 or len(sentence) < tolerance * len(fixed):
+                continue
+            if len(sentence) - len(fixed) > (12 if open_ else 0) + len(fixed) // 3:
+                continue
+            shared = common_subsequence(fixed, sentence)
+            if shared >= tolerance * len(fixed) and (open_ or shared >= 0.7 * len(sentence)):
+                return True
+        return False
 
 
-def _aligned(sentence: list[str], templates: list[list[str]], tolerance: float = 0.85) -> bool:
-    """The sentence says a template: all of its words in order, and little else."""
-    for t in templates:
-        fixed = [x for x in t if x != "*"]
-        if not fixed or len(sentence) < len(fixed) * tolerance:
-            continue
-        free = 12 if "*" in t else 0
-        if len(sentence) - len(fixed) > free + len(fixed) // 3:
-            continue
-        if common_subsequence(fixed, sentence) >= tolerance * len(fixed) and (free or common_subsequence(fixed, sentence) >= 0.7 * len(sentence)):
-            return True
-    return False
+_REFUSALS, _OFFERS = _Templates(REFUSALS), _Templates(OFFERS)
 
 
 def is_refusal(answer: str) -> bool:
@@ -211,12 +225,12 @@ def is_refusal(answer: str) -> bool:
         ws = tokens(said.replace("’", "'"), bool(_DENSE.search(said)))
         if not ws:
             continue
-        if _aligned(ws, _REFUSALS):
+        if _REFUSALS.aligned(ws):
             refused = True
-        elif not _aligned(ws, _OFFERS):
+        elif not _OFFERS.aligned(ws):
             parts = re.split(r"[.!?。！？]\s*|\s(?=(?:Is|Can|Kann|Puis|Let)\s)", said)
             rest = [w for p in parts if (w := tokens(p, bool(_DENSE.search(p))))]
-            kinds = [(_aligned(w, _REFUSALS), _aligned(w, _OFFERS)) for w in rest]
+            kinds = [(_REFUSALS.aligned(w), _OFFERS.aligned(w)) for w in rest]
             if len(rest) < 2 or not all(a or b for a, b in kinds):
                 return False
             refused = refused or any(a for a, _ in kinds)
@@ -256,12 +270,11 @@ def _unclosed(text: str) -> bool:
         return True
     stack: list[str] = []
     pairs = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "«": "»"}
-    for i, c in enumerate(text):
+    for c in _BRACKETS.findall(text):
         if c in pairs:
             stack.append(pairs[c])
-        elif c in pairs.values():
-            if stack and stack[-1] == c:
-                stack.pop()
+        elif stack and stack[-1] == c:
+            stack.pop()
     if stack:
         return True
     if text.count("„") > text.count("“") + text.count("”") or (not text.count("„") and text.count("“") > text.count("”")):
