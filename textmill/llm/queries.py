@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmill.llm.containers import chatml_size, container_report, fill_containers
 from textmill.llm.leaks import leak_report, leaked_items
 from textmill.llm.mixture import mix_sources, mixture_report
-from textmill.llm.near_duplicates import near_duplicate_pairs
+from textmill.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from textmill.llm.pairs import pair_defects
 from textmill.llm.sentences import sentence_units
 
@@ -24,6 +24,11 @@ def _test_items(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/eval_items.parquet").where("split = 'test'").select("item_id", "question", "lang").distinct()
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of documents at the usual five words and 0.8."""
+    return near_duplicate_classes(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", chatml_size().alias("size")).where("size is not null")
 
@@ -63,7 +68,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_packed": p2_packed, "p2_unused": p2_unused, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p5_mixtures": p5_mixtures, "p5_shares": p5_shares, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_packed": p2_packed, "p2_unused": p2_unused, "p3_found": p3_found, "p4_found": p4_found, "p4_coverage": p4_coverage, "p5_mixtures": p5_mixtures, "p5_shares": p5_shares, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
