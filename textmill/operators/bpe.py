@@ -115,7 +115,8 @@ def decode(df: DataFrame, ids_col: str, merges: DataFrame, out_col: str = "text"
     table = _collected(merges)
     vocab = {k: bytes([k]) for k in range(256)}
     for (l, r), new in sorted(table.items(), key=lambda x: x[1]):
-        vocab[new] = vocab[l] + vocab[r]
+        if l in vocab and r in vocab:
+            vocab[new] = vocab[l] + vocab[r]
     sent = df.sparkSession.sparkContext.broadcast(vocab)
 
     @F.pandas_udf("struct<text:string,unknown:int>")

@@ -66,6 +66,7 @@ def minhash(df: DataFrame, id_col: str, text_col: str, hashes: int = 128, size:
     low = F.lower(F.col(text_col))
     shingles = tx.let(low, lambda s: tx.let(tx.words(s), lambda ws: F.when(F.size(ws) < size, F.array(s)).otherwise(F.array_distinct(tx.ngrams(ws, size)))))
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), shingles.alias("shingles"))
+    kind = dict(df.dtypes)[id_col]
     if hash_name == "xxhash64":
         r = np.random.default_rng(hashes)
         a, b = r.integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1), r.integers(0, 2**63, hashes, dtype=np.uint64)
@@ -81,23 +82,22 @@ def minhash(df: DataFrame, id_col: str, text_col: str, hashes: int = 128, size:
                     out.append(low_.view(np.int64))
                 yield pd.DataFrame({id_col: pdf[id_col], "signature": out})
 
-        kind = dict(df.dtypes)[id_col]
         return rows.select(id_col, F.transform("shingles", lambda s: F.xxhash64(s)).alias("h")).mapInPandas(minima, f"`{id_col}` {kind}, signature array<long>")
 
-    @F.pandas_udf("array<long>")
-    def blake(batch: pd.Series) -> pd.Series:
+    def blake(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        def one(sh) -> list[int]:
+        def one(shingles) -> list[int]:
             out = []
             for seed in range(hashes):
-                low_ = min(int.from_bytes(hashlib.blake2b(f"{seed}:{s}".encode(), digest_size=8).digest(), "little") for s in sh)
-                out.append(low_ - (1 << 64) if low_ >= 1 << 63 else low_)
+                least = min(int.from_bytes(hashlib.blake2b(f"{seed}:{s}".encode(), digest_size=8).digest(), "little") for s in shingles)
+                out.append(least - (1 << 64) if least >= 1 << 63 else least)
             return out
 
-        return batch.map(one)
+        for pdf in batches:
+            yield pd.DataFrame({id_col: pdf[id_col], "signature": [one(s) for s in pdf["shingles"]]})
 
-    return rows.select(id_col, blake("shingles").alias("signature"))
+    return rows.mapInPandas(blake, f"`{id_col}` {kind}, signature array<long>")
 
 
 def similar_pairs(signed: DataFrame, id_col: str, threshold: float = 0.8, bands: int | None = None) -> DataFrame:

@@ -124,6 +124,6 @@ def lr_finder(df: DataFrame, by: list[str], lr: str, loss: str, step: str) -> Da
 def noise_scale(vectors: DataFrame, by: list[str], vector_col: str) -> DataFrame:
     """Gradient noise scale: n * sum |g|^2 / max(|sum g|^2, 1e-8) - 1."""
     norms = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate(vector_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("sq"))
-    sums = vectors.select(*by, F.posexplode(vector_col).alias("k", "x")).groupBy(*by, "k").agg(F.sum(F.col("x").cast("double")).alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("whole"))
+    sums = vectors.select(*by, F.posexplode(vector_col).alias("_k", "_x")).groupBy(*by, "_k").agg(F.sum(F.col("_x").cast("double")).alias("_s")).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("whole"))
     both = norms.join(sums, by) if by else norms.crossJoin(sums)
     return both.select(*by, "n", (F.col("n") * F.col("sq") / F.greatest("whole", F.lit(1e-8)) - 1).alias("noise_scale"))

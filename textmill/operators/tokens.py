@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def windows(tokens: Column, block: int) -> Column:
-    """All ``(idx, x, y)`` of an array, stride 1: y is x moved on by one."""
+    """All ``(idx, x, y)`` of an array, stride 1: y is x moved on by one.
+
+    Null and short arrays have none.
+    """
     last = F.size(tokens) - block - 1
     many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("idx"), F.slice(tokens, i + 1, block).alias("x"), F.slice(tokens, i + 2, block).alias("y")))
     kind = "array<struct<idx:int,x:array<int>,y:array<int>>>"
-    return F.when(last < 0, F.array().cast(kind)).otherwise(many.cast(kind))
+    return F.when(last >= 0, many.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def stream_windows(df: DataFrame, block: int, pos: str = "pos", token: str = "token", shard: int = 1_000_000) -> DataFrame:
@@ -77,6 +80,12 @@ def split_path(path: str, want: str) -> str:
 def validate_token_files(spark: SparkSession, path: str, dtype: str = "uint16") -> DataFrame:
     """``(path, size_bytes, num_tokens, dtype, sha256, problem)`` of token files."""
     width = {"uint16": 2, "uint32": 4}[dtype]
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    # the reader passes over empty files: they come from the listing
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = fs.listStatus(where) if fs.exists(where) and fs.getFileStatus(where).isDirectory() else fs.globStatus(where) or []
+    empty = [(s.getPath().toString(), 0, b"") for s in listed if s.isFile() and s.getLen() == 0]
+    files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
     problem = F.when(F.col("length") == 0, "empty").when(F.col("length") % width != 0, f"size is no multiple of {width}")
     return files.select("path", F.col("length").alias("size_bytes"), F.floor(F.col("length") / width).alias("num_tokens"), F.lit(dtype).alias("dtype"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
