@@ -57,10 +57,10 @@ OFFERS = (
 )
 #: Frequent words that tell languages of one script apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that for it was on with as at by from this be are or an have has had not but what why which when how did does do before after between since nothing we our you your i a no yes if then than there their its were who all only can will would should into over until because while once",
-    "de": "der die das und ist nicht mit auf für von zu im den dem des ein eine einen einem einer als auch es an werden aus er hat dass sie nach wird bei einen um am sind noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich hatte wir warum was wenn seit weil ob kann ja nein sich ab wieder gegen erst spät danach dazu leider keine kein unter zwischen doch kurz fest",
-    "fr": "le la les de des du et est un une en que qui dans pour pas sur au aux ce il elle ne se sont plus par avec nous vous je son sa ses mais ou où cette été avait avons avant après comme depuis quand pourquoi alors oui non à y a ont était très sans on puis leur même peux être tard trop",
-    "es": "el la los las de del y es un una en que por para con no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde nos nosotros todo uno les ni contra otros ese eso ante perdimos hemos había fue son está qué cuándo cómo a tras antes frente en",
+    "en": "the of and to in is that for it was on with as at by from this be are or an have has had not but what why which when how did does do before after between since nothing we our you your i a no yes if then than there their its were who all only can will would should into over until because while once most first per more about out up down there here answered nobody any some",
+    "de": "der die das und ist nicht mit auf für von zu im den dem des ein eine einen einem einer als auch es an werden aus er hat dass sie nach wird bei einen um am sind noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich hatte wir warum was wenn seit weil ob kann ja nein sich ab wieder gegen erst spät danach dazu leider keine kein unter zwischen doch kurz fest siehe zuerst gesagt niemand jetzt hier dort etwas alle",
+    "fr": "le la les de des du et est un une en que qui dans pour pas sur au aux ce il elle ne se sont plus par avec nous vous je son sa ses mais ou où cette été avait avons avant après comme depuis quand pourquoi alors oui non à y a ont était très sans on puis leur même peux être tard trop bref voir rien personne ici chaque tout",
+    "es": "el la los las de del y es un una en que por para con no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde nos nosotros todo uno les ni contra otros ese eso ante perdimos hemos había fue son está qué cuándo cómo a tras antes frente en nadie breve aquí ahora dijo estaba quedó pasó tarde nada cada",
 }
 #: How a prompt names the language it wants its answer in.
 LANGUAGE_NAMES = {
@@ -90,6 +90,7 @@ _CODE_NAME = re.compile(r"\b[\w]+(?:[-_.][\w]+)+\b")
 #: Words that can't be the last of an entry or of a short answer.
 DANGLING = frozenset("the a an of to in on at by for with from and or but which that because as if than into is are was were be der die das den dem ein eine und oder mit von zu für im weil dass le la les de des du et un une à dans avec pour que el los las y en con por para un una и в на с к по для что".split())
 
+_UNQUOTED = str.maketrans({c: " " for c in "\"“”„«»「」『』`"})
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
 
@@ -165,9 +166,10 @@ def language(text: str) -> str | None:
     score["fr"] += 0.5 * len(re.findall(r"[àâçèêëîïôùûœ]|\b[ldnscmj]['’ ](?=[aeiouéh])", bare.lower()))
     score["es"] += 0.5 * len(re.findall(r"[ñáíóú¿¡]", bare.lower()))
     order = sorted(score, key=lambda k: -score[k])
-    if score[order[0]] < max(2, 0.12 * len(latin)) or score[order[0]] < 1.25 * score[order[1]]:
-        return None
-    return order[0]
+    best, second = score[order[0]], score[order[1]]
+    if best >= max(2, 0.12 * len(latin)) and best >= 1.25 * second:
+        return order[0]
+    return language(text.translate(_UNQUOTED)) if bare != text and len(latin) < 12 else None
 
 
 def wanted_language(prompt: str) -> str | None:
@@ -312,7 +314,7 @@ def is_truncated(answer: str, forms: dict[str, int]) -> bool:
     if _DENSE.search(text):
         return len(_DENSE.findall(text)) > 2 or len(WORD.findall(_DENSE.sub(" ", text))) > 0
     if text[-1] in ",:;-–—、，：；(":
-        return len(ws) > 1 or text[-1] in ",;"
+        return len(ws) > 1 or text[-1] in ",;，；、"
     words_ = WORD.findall(text.lower())
     if len(ws) <= 2:
         return bool(words_) and len(ws) == 2 and words_[-1] in DANGLING
