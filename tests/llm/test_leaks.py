@@ -5,8 +5,9 @@ import re
 
 import pytest
 
+from tests.oracle import compare
 from textmill.llm import leaks as lk
-from textmill.llm import queries
+from textmill.llm import oracles, queries
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -35,6 +36,10 @@ def test_query_equals_brute_force(spark):
     assert got == brute(docs, items) != set()
 
 
+def test_query_equals_its_sql(spark, tiny):
+    compare(spark, tiny, queries.p4_found, oracles.P4_FOUND)
+
+
 def test_random_texts(spark):
     r = random.Random(3)
     word = lambda: r.choice("abcdefgh")

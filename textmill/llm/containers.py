@@ -187,8 +187,8 @@ def fill_containers(items: DataFrame, targets: DataFrame, id_col: str, size_col:
         .groupBy("id").agg(F.max("size").alias("size"))
     )
     sized = materialize(sized, "sizes")
-    wanted = spark.createDataFrame([(k, m, j) for k, (m, j) in goals.items()], "pack_id string, most long, joiner long")
-    every = sized.crossJoin(F.broadcast(wanted))  # a bounded list of targets
+    each = [F.struct(F.lit(k).alias("pack_id"), F.lit(m).cast("long").alias("most"), F.lit(j).cast("long").alias("joiner")) for k, (m, j) in goals.items()]
+    every = sized.select("id", "size", F.inline(F.array(*each)))
     rest = every.withColumn("whole", F.when(F.col("size") > F.col("most"), F.floor((F.col("size") - 1) / F.col("most"))).otherwise(F.lit(0)).cast("int")).withColumn("rest", F.col("size") - F.col("whole") * F.col("most"))
     grid = F.ceil((F.col("rest") + F.col("joiner")) / F.ceil((F.col("most") + F.col("joiner")) / LEVELS))
     histograms: dict[str, dict[int, int]] = defaultdict(dict)

@@ -15,5 +15,17 @@ WHERE c.c * 10 >= least(x.n, y.n) * 7
 """
 
 
+P4_FOUND = r"""
+WITH q AS (SELECT DISTINCT item_id, lang, regexp_extract_all(lower(question), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE split = 'test' AND question IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+qs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM q WHERE coalesce(lang, '') <> 'zh' AND len(w) >= 10),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM d WHERE len(w) >= 10),
+qz AS (SELECT item_id, regexp_extract_all(array_to_string(w, ''), '.') AS c FROM q WHERE lang = 'zh'),
+zs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(c) - 18), lambda i: array_to_string(c[i:i+19], ''))) AS g FROM qz WHERE len(c) >= 20),
+dz AS (SELECT doc_id, array_to_string(w, '') AS s FROM d)
+SELECT doc_id, item_id FROM qs JOIN ds USING (g) UNION SELECT doc_id, item_id FROM dz JOIN zs ON contains(dz.s, zs.g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
