@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.runtime import spread
+
 MOST_MERGES = 1_000_000
 
 
@@ -104,7 +106,7 @@ def encode(df: DataFrame, text_col: str, merges: DataFrame, order: str = "newest
         table = sent.value
         return batch.map(lambda t: None if t is None else apply_merges(list(t.encode()), table, order == "newest"))
 
-    return df.withColumn(out_col, run(text_col))
+    return spread(df).withColumn(out_col, run(text_col))
 
 
 def decode(df: DataFrame, ids_col: str, merges: DataFrame, out_col: str = "text") -> DataFrame:

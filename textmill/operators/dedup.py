@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
-from textmill.runtime import materialize
+from textmill.operators.selfjoin import pairs_by_key
+from textmill.runtime import materialize, spread
 
 SHA2 = {"sha256": 256, "sha224": 224, "sha384": 384, "sha512": 512}
 
@@ -65,7 +68,7 @@ def minhash(df: DataFrame, id_col: str, text_col: str, hashes: int = 128, size:
     """
     low = F.lower(F.col(text_col))
     shingles = tx.let(low, lambda s: tx.let(tx.words(s), lambda ws: F.when(F.size(ws) < size, F.array(s)).otherwise(F.array_distinct(tx.ngrams(ws, size)))))
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), shingles.alias("shingles"))
+    rows = spread(df.select(id_col, text_col)).where(F.col(text_col).isNotNull()).select(F.col(id_col), shingles.alias("shingles"))
     kind = dict(df.dtypes)[id_col]
     if hash_name == "xxhash64":
         r = np.random.default_rng(hashes)
@@ -104,7 +107,8 @@ def similar_pairs(signed: DataFrame, id_col: str, threshold: float = 0.8, bands:
     """``(a, b, similarity)``, a < b: signatures that agree in enough places.
 
     With at most d places to differ in, more than d bands leave some band
-    equal, so no pair is missed. Of equal signatures only the least id takes
+    equal, so no pair is missed. A sketch of one bit a place is compared inside
+    the join, which loses none either. Of equal signatures only the least id takes
     part; the others are linked to it, which keeps copies from pairing with
     each other.
     """
@@ -121,8 +125,17 @@ def similar_pairs(signed: DataFrame, id_col: str, threshold: float = 0.8, bands:
     heads = keyed.groupBy("whole").agg(F.min("id").alias("head"))
     copies = keyed.join(heads, "whole").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     kept = keyed.join(heads, (keyed["whole"] == heads["whole"]) & (keyed["id"] == heads["head"]), "left_semi").select("id", "signature")
-    banded = kept.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.slice("signature", k * rows + 1, rows)))).alias("band", "key"))
-    candidates = banded.alias("l").join(banded.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= bands - d)
+    # equal places have equal bits, so two sketches differ in at most d bits
+    bits = lambda k: F.aggregate(F.slice("signature", k * 64 + 1, 64), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x.bitwiseAND(1)))
+    sketch = [f"s{k}" for k in range(-(-h // 64))]
+    whole = kept.select(F.coalesce("id", F.lit(0).cast("long")).alias("uid"), "signature", *[F.coalesce(bits(k), F.lit(0).cast("long")).alias(c) for k, c in enumerate(sketch)])
+    banded = whole.select("uid", *sketch, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.slice("signature", k * rows + 1, rows))).alias("band", "part"))
+    banded = banded.select("uid", *sketch, F.xxhash64("band", "part").alias("key"))
+
+    def near(l: str, r: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}"))) for c in sketch]) <= d
+
+    candidates = pairs_by_key(banded, "key", near).distinct()
     same = F.aggregate(F.zip_with("x.signature", "y.signature", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / h
     x, y = kept.alias("x"), kept.alias("y")
     return candidates.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold).union(copies)

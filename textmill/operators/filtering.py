@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.functions.quality import Score, default_scores
+from textmill.runtime import spread
 
 
 def evaluate(df: DataFrame, text_col: str = "text", scores: list[Score] | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def evaluate(df: DataFrame, text_col: str = "text", scores: list[Score] | None =
     names = [s.name for s in scores]
     if len(set(names)) < len(names):
         raise ValueError("scores need different names")
-    scored = df.withColumns({f"score_{s.name}": F.when(F.col(text_col).isNotNull(), s.build(F.col(text_col))) for s in scores})
+    scored = spread(df).withColumns({f"score_{s.name}": F.when(F.col(text_col).isNotNull(), s.build(F.col(text_col))) for s in scores})
     failed = F.array_compact(F.array(*[F.when(F.col(f"score_{s.name}") < s.threshold, F.lit(s.name)) for s in scores]))
     verdict = F.when(F.col(text_col).isNull(), F.array(F.lit("null_text"))).otherwise(failed)
     return scored.withColumn("failed_filters", verdict).withColumn("passed", F.size("failed_filters") == 0)

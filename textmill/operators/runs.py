@@ -69,24 +69,25 @@ def ema(log: DataFrame, by: list[str], value_col: str, order_col: str = "iter",
 
     A long series is cut into chunks that are folded side by side; then the
     chunks' ends, one row each, are folded, and each chunk gets what the ones
-    before it carry over. So no task folds a whole series row by row, and
-    there are no powers that overflow. Null values are left out.
+    before it carry over. So no task folds a whole series row by row, and there are no powers that overflow. Null values are left out.
     """
-    rows = log.where(F.col(value_col).isNotNull()).select(*by, F.col(order_col).alias("o"), F.col(value_col).cast("double").alias("v"))
-    numbered = rows.withColumn("t", F.row_number().over(Window.partitionBy(*by).orderBy("o")) - 1).withColumn("chunk", F.floor(F.col("t") / chunk))
-    part = numbered.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "o", "v"))).alias("xs"))
+    rows = log.where(F.col(value_col).isNotNull()).select(*by, F.col(order_col).alias("_o"), F.col(value_col).cast("double").alias("_v"))
+    numbered = rows.withColumn("_t", F.row_number().over(Window.partitionBy(*by).orderBy("_o")) - 1).withColumn("_chunk", F.floor(F.col("_t") / chunk))
+    part = numbered.groupBy(*by, "_chunk").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"), F.col("_v").alias("v")))).alias("_xs"))
     start = F.array().cast("array<struct<t:int,o:bigint,v:double,a:double>>")
 
     def push(acc: Column, x: Column) -> Column:
         before = F.when(F.size(acc) > 0, F.element_at(acc, -1)["a"]).otherwise(0.0)
         return F.concat(acc, F.array(F.struct(x["t"].cast("int").alias("t"), x["o"].cast("bigint").alias("o"), x["v"].alias("v"), (before * beta + x["v"] * (1 - beta)).alias("a"))))
 
-    folded = part.withColumn("xs", F.aggregate("xs", start, push)).withColumn("end", F.element_at("xs", -1)["a"])
-    order = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "end")).over(order)), F.lit(0.0), lambda a, x: a * (beta**chunk) + x["end"])
-    carried = folded.withColumn("carry", carry).select(*by, "chunk", "carry", F.explode("xs").alias("x"))
-    a = F.col("x.a") + F.col("carry") * F.pow(F.lit(beta), F.col("x.t") - F.col("chunk") * chunk + 1)
-    return carried.select(*by, F.col("x.o").alias(order_col), F.col("x.v").alias("value"), (a / (1 - F.pow(F.lit(beta), F.col("x.t") + 1))).alias("ema"))
+    folded = part.withColumn("_xs", F.aggregate("_xs", start, push)).withColumn("_end", F.element_at("_xs", -1)["a"])
+    felt = max(1, math.ceil(18 * math.log(10) / (-math.log(beta) * chunk))) if 0 < beta < 1 else 1
+    order = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(-felt, -1)
+    ends = F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("_end").alias("e"))).over(order))
+    carry = F.aggregate(ends, F.lit(0.0), lambda a, x: a * (beta**chunk) + x["e"])
+    carried = folded.withColumn("_carry", carry).select(*by, "_chunk", "_carry", F.explode("_xs").alias("_x"))
+    a = F.col("_x.a") + F.col("_carry") * F.pow(F.lit(beta), F.col("_x.t") - F.col("_chunk") * chunk + 1)
+    return carried.select(*by, F.col("_x.o").alias(order_col), F.col("_x.v").alias("value"), (a / (1 - F.pow(F.lit(beta), F.col("_x.t") + 1))).alias("ema"))
 
 
 def gradient(df: DataFrame, by: list[str], x: str, y: str, order: str) -> DataFrame:

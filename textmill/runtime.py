@@ -38,7 +38,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that has fewer partitions than the session has cores.
 
     One small file would run a Python stage on one core. Large inputs have more
-    splits than cores and pass unchanged, without a shuffle.
+    splits than cores and pass unchanged, without a shuffle, as do streams.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
