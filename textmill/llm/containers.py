@@ -203,6 +203,7 @@ def fill_containers(items: DataFrame, targets: DataFrame, id_col: str, size_col:
         goals_, plans_, totals_ = sent.value
         name, shard = key
         most, joiner = goals_[name]
+        pdf = pdf.sort_values("id")
         ids, rests, wholes = pdf["id"].to_numpy(), pdf["rest"].to_numpy(), pdf["whole"].to_numpy()
         packed = pack(ids, rests + joiner, most + joiner, plans_.get(name, []), len(pdf) / max(1, totals_.get(name, 1)))
         base, rows = int(shard) << 32, []
