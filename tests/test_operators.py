@@ -388,3 +388,53 @@ def test_jsonl(spark, tmp_path):
     jsonl.append_metrics(m, str(tmp_path / "m"))
     jsonl.append_metrics(m, str(tmp_path / "m"))
     assert jsonl.read(spark, "metrics", str(tmp_path / "m")).count() == 2
+
+
+def test_small_parts(spark):
+    v = spark.createDataFrame([([1.0, 2.0, 3.0],), ([],)], "v array<double>").select(runs.parameter_ema(F.col("v"), 0.5).alias("s"), runs.parameter_ema(F.col("v"), 0.5, F.lit(0.0)).alias("z")).collect()
+    assert v[0]["s"] == pytest.approx(2.25) and v[0]["z"] == pytest.approx(2.125) and v[1]["z"] == 0.0
+    p = spark.createDataFrame([(10, True), (30, False)], "n long, t boolean")
+    assert tuple(runs.parameter_counts(p, "n", F.col("t")).first()) == (40, 10, 25.0) and tuple(runs.parameter_counts(p.limit(0), "n", F.col("t")).first()) == (0, 0, 0.0)
+    k = spark.createDataFrame([([1.0, 5.0, 5.0, 7.0],)], "x array<double>").select(losses.top_k_logits(F.col("x"), 2).alias("k")).first()["k"]
+    assert k == [float("-inf"), 5.0, 5.0, 7.0]
+    res = {r["task"]: (r["value"], r["error"]) for r in evaluation.benchmark_suite(spark.createDataFrame([("gsm8k", "1", "1", None, None), ("gsm8k", "", "", None, None), ("nope", "1", "1", None, None)], "task string, prediction string, gold string, passed boolean, score double")).collect()}
+    assert res["gsm8k"] == (0.5, None) and res["nope"] == (None, "Unknown task: nope") and res["aggregate"][0] == 0.5
+    u = spark.createDataFrame([(100.0, 2.0)], "t double, s double").select(runs.utilisation(F.col("t"), F.col("s"), F.lit(1e9), F.lit(2), F.lit(8), F.lit(16)).alias("u")).first()["u"]
+    assert u == pytest.approx((6e9 + 12 * 2 * 8 * 16) * 100 / 2 / 312e12)
+    one = configs.from_public(spark.createDataFrame([(64, 2, 1, 100)], "hidden_size int, num_attention_heads int, num_hidden_layers int, vocab_size int")).first()
+    assert (one["block_size"], one["n_kv_head"]) == (2048, 2)
+
+
+def test_draws(spark):
+    df = spark.range(10).select(F.col("id").alias("rank"), (F.col("id") * 7).alias("x"))
+    rows = mixing.with_replacement(df, "rank", 10, 200, 1).collect()
+    assert len(rows) == 200 and {r["x"] for r in rows} == {7 * k for k in range(10)}
+    assert mixing.with_replacement(df.limit(0), "rank", 0, 5).count() == 0
+    order = [r["rank"] for r in mixing.shuffled(df, "rank", 4).collect()]
+    assert sorted(order) == list(range(10)) != order == [r["rank"] for r in mixing.shuffled(df.repartition(3), "rank", 4).collect()]
+    plan = spark.createDataFrame([(0, 1), (0, 1), (1, 0)], "ds_idx int, sample_idx long")
+    assert mixing.gather(plan, spark.createDataFrame([(0, 1, "a"), (1, 0, "b"), (1, 1, "c")], "ds_idx int, sample_idx long, t string")).count() == 3
+
+
+def test_configured_pipeline(spark, tmp_path):
+    from textmill.plans import pipeline
+
+    m = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, "aa bb", [("user", "x"), ("gpt", "y")]), (2, "aa bb", None), (3, "a", None), (4, "a b c d", None), (5, None, None)], f"id long, text string, messages {m}")
+    assert sorted(r["id"] for r in pipeline.curate(df, {"min_len": 2, "dedupe": True}, "id").collect()) == [1, 4]
+    staged = pipeline.curate(df, {"min_len": 1, "curriculum": {"enabled": True, "num_stages": 2, "schedule": "step"}}, "id")
+    assert {r["id"]: r["stage"] for r in staged.collect()} == {3: 0, 1: 0, 2: 1, 4: 1}
+    assert pipeline.curate(df, {"conversation_format": "alpaca"}, "id").where("id = 1").first()["text"].endswith("Response:\ny")
+    with pytest.raises(ValueError):
+        pipeline.curate(df, {"min_length": 2}, "id")
+    (tmp_path / "c.jsonl").write_text('{"prompt": "p", "chosen": "c", "rejected": "r"}\n')
+    assert pipeline.preference_source(spark, {"constitution": {"enabled": True, "path": str(tmp_path / "c.jsonl")}}).count() == 1
+    assert pipeline.preference_source(spark, {}) is None
+
+
+def test_hot_keys_are_split(spark):
+    from textmill.operators.selfjoin import pairs_by_key
+
+    rows = spark.range(90).select(F.coalesce("id", F.lit(0)).alias("uid"), F.when(F.col("id") < 60, "hot").when(F.col("id") < 80, "warm").alias("k"))
+    got = {tuple(r) for r in pairs_by_key(rows, "k", lambda l, r: (F.col(f"{l}.uid") + F.col(f"{r}.uid")) % 2 == 0, bucket=25).collect()}
+    assert got == {(a, b) for a in range(80) for b in range(a + 1, 80) if (a < 60) == (b < 60) and (a + b) % 2 == 0}

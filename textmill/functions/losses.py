@@ -114,3 +114,11 @@ def layer_norm(vector: Column, eps: float = 1e-5) -> Column:
         return let(F.sqrt(var + eps), lambda s: F.transform(vector, lambda x: (x - m) / s))
 
     return let(mean, of)
+
+
+def top_k_logits(logits: Column, k: int) -> Column:
+    """Logits below the k-th largest become minus infinity; ties with it stay."""
+    def of(edge: Column) -> Column:
+        return F.transform(logits, lambda x: F.when(x < edge, F.lit(float("-inf"))).otherwise(x))
+
+    return let(F.element_at(F.slice(F.sort_array(logits, asc=False), 1, k), -1), of)

@@ -188,3 +188,13 @@ ZOO = [
 
 def zoo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ZOO, "name string, n_embd int, n_head int, n_kv_head int, n_layer int, vocab_size int, block_size int")
+
+
+def from_public(shapes: DataFrame) -> DataFrame:
+    """Model fields of public configurations, missing ones by default."""
+    has = set(shapes.columns)
+    pick = lambda c, other: F.coalesce(F.col(c), other) if c in has else other
+    return shapes.select(
+        pick("max_position_embeddings", F.lit(2048)).alias("block_size"), F.col("vocab_size"), F.col("num_hidden_layers").alias("n_layer"), F.col("num_attention_heads").alias("n_head"),
+        pick("num_key_value_heads", F.col("num_attention_heads")).alias("n_kv_head"), F.col("hidden_size").alias("n_embd"),
+    )

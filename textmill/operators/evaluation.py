@@ -92,3 +92,20 @@ def mean_loss(df: DataFrame, loss_col: str, order_col: str, max_iters: int = 100
 
 def gold_join(predictions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     return predictions.join(gold, key)
+
+
+def benchmark_suite(predictions: DataFrame) -> DataFrame:
+    """``(task, metric, value, error)`` of a table of predictions, and the aggregate.
+
+    ``predictions(task, prediction, gold, passed, score)``: choices and numbers
+    are compared, code outcomes counted, preference scores signed. An unknown
+    task has an error and no value.
+    """
+    right = F.coalesce((F.col("prediction") == F.col("gold")) & (F.length("prediction") > 0), F.lit(False))
+    hit = F.when(F.col("task").isin("gsm8k", "mmlu"), right).when(F.col("task") == "humaneval", F.coalesce("passed", F.lit(False))).when(F.col("task") == "constitution", F.coalesce(F.col("score") > 0, F.lit(False)))
+    metric = F.lit(None).cast("string")
+    for task, name in TASK_METRICS.items():
+        metric = F.when(F.col("task") == task, F.lit(name)).otherwise(metric)
+    each = predictions.groupBy("task").agg(F.avg(hit.cast("double")).alias("value")).select("task", metric.alias("metric"), "value", F.when(metric.isNull(), F.concat(F.lit("Unknown task: "), F.col("task"))).alias("error"))
+    whole = aggregate_metrics(each).select(F.lit("aggregate").alias("task"), F.lit("mean_score").alias("metric"), F.col("mean_score").alias("value"), F.lit(None).cast("string").alias("error"))
+    return each.unionByName(whole)

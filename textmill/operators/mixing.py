@@ -58,3 +58,23 @@ def take_least(df: DataFrame, group: list[str], key: str, take: str) -> DataFram
     rank = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(key))
     part = near.where(F.col("_upto") > F.col(take)).withColumn("_rank", rank + F.col("_before")).where(F.col("_rank") <= F.col(take)).select(*df.columns)
     return whole.union(part)
+
+
+def gather(schedule: DataFrame, records: DataFrame) -> DataFrame:
+    """The records of a schedule, each as often as it is scheduled."""
+    return schedule.join(records, ["ds_idx", "sample_idx"])
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """``df`` in an order that depends on seed and id alone."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col)
+
+
+def with_replacement(df: DataFrame, rank_col: str, total: int, draws: int, seed: int = 0) -> DataFrame:
+    """``draws`` rows of ``df`` as ``(draw, ...)``, each by a hash of its number.
+
+    ``rank_col`` numbers the rows from 0 to ``total - 1``.
+    """
+    n = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long")
+    asked = df.sparkSession.range(draws if total else 0).select(F.col("id").alias("draw"), F.pmod(n, F.lit(max(total, 1))).alias(rank_col))
+    return asked.join(df, rank_col)

@@ -69,7 +69,9 @@ def ema(log: DataFrame, by: list[str], value_col: str, order_col: str = "iter",
 
     A long series is cut into chunks that are folded side by side; then the
     chunks' ends, one row each, are folded, and each chunk gets what the ones
-    before it carry over. So no task folds a whole series row by row, and there are no powers that overflow. Null values are left out.
+    before it carry over. So no task folds a whole series row by row, and there
+    are no powers that overflow. Chunks so far back that their share is below
+    1e-18 are not carried. Null values are left out.
     """
     rows = log.where(F.col(value_col).isNotNull()).select(*by, F.col(order_col).alias("_o"), F.col(value_col).cast("double").alias("_v"))
     numbered = rows.withColumn("_t", F.row_number().over(Window.partitionBy(*by).orderBy("_o")) - 1).withColumn("_chunk", F.floor(F.col("_t") / chunk))
@@ -128,3 +130,34 @@ def noise_scale(vectors: DataFrame, by: list[str], vector_col: str) -> DataFrame
     sums = vectors.select(*by, F.posexplode(vector_col).alias("_k", "_x")).groupBy(*by, "_k").agg(F.sum(F.col("_x").cast("double")).alias("_s")).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("whole"))
     both = norms.join(sums, by) if by else norms.crossJoin(sums)
     return both.select(*by, "n", (F.col("n") * F.col("sq") / F.greatest("whole", F.lit(1e-8)) - 1).alias("noise_scale"))
+
+
+def parameter_ema(values: Column, decay: float = 0.9999, first: Column | None = None) -> Column:
+    """Shadow of a parameter after an array of its values: s = d*s + (1-d)*v.
+
+    Starts from ``first``, or else from the first value.
+    """
+    start = (F.get(values, F.lit(0)) if first is None else first).cast("double")
+    return F.aggregate(values, start, lambda s, v: s * decay + v.cast("double") * (1 - decay))
+
+
+def mean_by_split(df: DataFrame, split_col: str, loss_col: str) -> DataFrame:
+    """Mean loss and perplexity of each split."""
+    return df.groupBy(split_col).agg(F.avg(loss_col).alias("loss"), F.count(loss_col).alias("batches")).withColumn("perplexity", F.exp("loss"))
+
+
+def parameter_counts(params: DataFrame, size_col: str, trainable: Column) -> DataFrame:
+    """One row: all and trainable parameters and the percentage; 0 over none."""
+    n = F.coalesce(F.sum(size_col), F.lit(0)).cast("long")
+    own = F.coalesce(F.sum(F.when(trainable, F.col(size_col))), F.lit(0)).cast("long")
+    return params.agg(n.alias("total"), own.alias("trainable")).withColumn("percent", F.when(F.col("total") > 0, F.col("trainable") * 100.0 / F.col("total")).otherwise(0.0))
+
+
+def utilisation(tokens: Column, seconds: Column, params: Column, layers: Column, width: Column, block: Column, peak_flops: float = 312e12) -> Column:
+    """Share of the peak: 6 flops a parameter and token, and attention's 12*L*width*block."""
+    return (params * 6 + layers * width * block * 12) * tokens / seconds / peak_flops
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of a sweep or comparison as JSON lines, replaced as a whole."""
+    df.write.mode("overwrite").json(path)

@@ -92,6 +92,13 @@ def q_eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.aggregate_metrics(r, ["run_id"]).select("run_id", F.round("mean_score", 6).alias("mean_score"), "num_tasks")
 
 
+def q_benchmark_suite(spark: SparkSession, d: str) -> DataFrame:
+    """The items' questions as predictions of their answers; two tasks have no such outcome."""
+    i = _items(spark, d)
+    p = i.select("task", evaluation.extract_number(F.col("question")).alias("prediction"), evaluation.gsm8k_gold(F.col("answer")).alias("gold"), (F.col("item_id") % 2 == 0).alias("passed"), (F.col("item_id") % 3 - 1).alias("score"))
+    return evaluation.benchmark_suite(p).select("task", "metric", F.round("value", 6).alias("value"), "error")
+
+
 def q_self_instruct_parse(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit(" Instruction: "), F.col("question"), F.lit("\nResponse: "), F.coalesce("answer", F.lit("Response: none ")))
     return _items(spark, d).select("item_id", synthetic.parse_instruction(text).alias("p")).select("item_id", "p.*")
@@ -211,6 +218,22 @@ def q_topk_route(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("r.expert").alias("expert")).agg(F.count(F.lit(1)).alias("tokens"), F.round(F.sum("r.weight"), 4).alias("weight"))
 
 
+def q_top_k_logits(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", losses.top_k_logits(F.col("embedding").cast("array<double>"), 5).alias("x"))
+    return e.select("vec_id", F.size(F.filter("x", lambda v: v > float("-inf"))).cast("long").alias("kept"), F.round(F.array_max("x"), 6).alias("top"))
+
+
+def q_loss_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Mean loss of runs by status."""
+    joined = _log(spark, d).join(_runs(spark, d).select("run_id", "status"), "run_id").where("train_loss is not null and not isnan(train_loss)")
+    return runs.mean_by_split(joined, "status", "train_loss").select("status", F.round("loss", 6).alias("loss"), "batches", F.round("perplexity", 4).alias("perplexity"))
+
+
+def q_parameter_ema(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(runs.parameter_ema(F.col("embedding").cast("array<double>"), 0.99), 6).alias("shadow"))
+    return e
+
+
 def q_sliding_mask(spark: SparkSession, d: str) -> DataFrame:
     return losses.mask(spark, 64, losses.sliding_window(7))
 
@@ -285,6 +308,9 @@ CASE WHEN choices IS NOT NULL THEN 'Question: ' || question || chr(10) || coales
     "q_pass_at_1": "WITH l AS (SELECT DISTINCT sample_id, source, passed FROM filter_results) SELECT source, count(*) FILTER (passed) AS passed, count(*) AS total, round(count(*) FILTER (passed) / count(*), 6) AS pass_at_1 FROM l GROUP BY source",
     "q_helpfulness": P + rf", k AS (SELECT source, regexp_replace(chosen, '^[{S}]+|[{S}]+\z', '', 'g') AS t FROM p) SELECT source, count(*) FILTER (length(t) > 20 AND NOT starts_with(t, 'I cannot')) AS helpful, count(*) AS total FROM k GROUP BY source",
     "q_eval_aggregate": "WITH r AS (SELECT DISTINCT run_id, task, metric, value FROM eval_results WHERE value IS NOT NULL AND NOT isnan(value)) SELECT run_id, round(avg(value), 6) AS mean_score, count(*) AS num_tasks FROM r WHERE (task, metric) IN (('gsm8k', 'accuracy'), ('mmlu', 'accuracy'), ('humaneval', 'pass_at_1'), ('constitution', 'preference_accuracy')) GROUP BY run_id",
+    "q_benchmark_suite": I + f""", p AS (SELECT task, coalesce({NUM('question')} = {GOLD} AND length({NUM('question')}) > 0, false) AS r, item_id % 2 = 0 AS ok, item_id % 3 - 1 > 0 AS pos FROM i),
+e AS (SELECT task, CASE task WHEN 'humaneval' THEN 'pass_at_1' WHEN 'constitution' THEN 'preference_accuracy' ELSE 'accuracy' END AS metric, avg(CASE task WHEN 'humaneval' THEN ok WHEN 'constitution' THEN pos ELSE r END::INTEGER) AS value FROM p GROUP BY task)
+SELECT task, metric, round(value, 6) AS value, NULL::VARCHAR AS error FROM e UNION ALL SELECT 'aggregate', 'mean_score', round(avg(value), 6), NULL FROM e""",
     "q_self_instruct_parse": I + rf" SELECT item_id, regexp_replace(question, '^[{S}]+|[{S}]+\z', '', 'g') AS instruction, regexp_replace(coalesce(answer, 'Response: none '), '^[{S}]+|[{S}]+\z', '', 'g') AS response FROM i",
     "q_math_parse": I + rf" SELECT item_id, regexp_replace(question, '^[{S}]+|[{S}]+\z', '', 'g') AS problem, 'add up.' AS solution, regexp_replace(coalesce(answer, ''), '^[{S}]+|[{S}]+\z', '', 'g') AS answer FROM i",
     "q_synthetic_prompts": I + f", k AS (SELECT *, {PICK('item_id', 4, 0)} AS k FROM i) SELECT item_id, {E_CASE} AS evolve, {_nl(synthetic.SELF_INSTRUCT_HEAD)} || 'Instruction: ' || question || chr(10) || 'Response: ' || coalesce(answer, '') || {_nl(synthetic.SELF_INSTRUCT_TAIL)} AS instruct, 'Generate a complex, requires advanced reasoning ' || task || ' math problem with step-by-step solution.' || chr(10) || chr(10) || 'Problem:' AS math FROM k",
@@ -316,6 +342,9 @@ SELECT source, round(avg(ln(1 + exp(-z)) * 0.95 + ln(1 + exp(z)) * 0.05), 6) AS
 SELECT vec_id, round(ce, 6) AS ce, round(pow(1 - exp(-ce), 2) * ce, 6) AS focal, round(0.9 * ce + 0.1 * (z - list_avg(x)), 6) AS smoothed FROM c""",
     "q_topk_route": """WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(0, len(embedding))) AS expert FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, expert) AS r FROM e), t AS (SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS w FROM k WHERE r <= 2)
 SELECT expert::INTEGER AS expert, count(*) AS tokens, round(sum(w), 4) AS weight FROM t GROUP BY expert""",
+    "q_top_k_logits": "WITH e AS (SELECT vec_id, list_reverse_sort(embedding::DOUBLE[]) AS x FROM embeddings) SELECT vec_id, len(list_filter(x, lambda v: v >= x[5])) AS kept, round(x[1], 6) AS top FROM e",
+    "q_loss_by_kind": L + R + " SELECT status, round(avg(train_loss), 6) AS loss, count(*) AS batches, round(exp(avg(train_loss)), 4) AS perplexity FROM l JOIN r USING (run_id) WHERE train_loss IS NOT NULL AND NOT isnan(train_loss) GROUP BY status",
+    "q_parameter_ema": "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(0, len(embedding))) AS k, len(embedding) AS n FROM embeddings) SELECT vec_id, round(sum(v * (CASE WHEN k = 0 THEN 1.0 ELSE 0.01 END) * pow(0.99::DOUBLE, n - 1 - k)) + any_value(0.0), 6) AS shadow FROM e GROUP BY vec_id",
     "q_sliding_mask": "SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(64) a(i), range(64) b(j) WHERE j <= i AND j > i - 7",
     "q_sparse_mask": "SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(64) a(i), range(64) b(j) WHERE j <= i AND (j > i - 4 OR j % 8 = 0)",
     "q_stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.operators import bpe, chat, curriculum, mixing, packing, tokens
-from textmill.plans.curation import S, WORDS, documents
+from textmill.plans import pipeline
+from textmill.plans.curation import DIGEST, S, WORDS, documents
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PACK, ROW, STAGES = 16_384, 2048, 4
@@ -92,6 +93,18 @@ def q_mixture_schedule(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_schedule(_sources(spark, d))
 
 
+def q_configured_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Limits, copies and stages from one configuration."""
+    data = {"min_len": 100, "max_len": 3000, "dedupe": True, "curriculum": {"enabled": True, "strategy": "length", "schedule": "step", "num_stages": 5}}
+    return pipeline.curate(documents(spark, d), data, "doc_id").groupBy("stage").agg(F.count(F.lit(1)).alias("documents"), F.sum("doc_id").alias("checksum"))
+
+
+def q_replacement_draws(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    ranked = curriculum.global_rank(e, [F.asc("event_id")])
+    return mixing.with_replacement(ranked, "rank", e.count(), 5000, seed=3).select("draw", "event_id")
+
+
 def q_bpe_pairs(spark: SparkSession, d: str) -> DataFrame:
     return bpe.pair_counts(documents(spark, d).where("text is not null").select(bpe.byte_ids(F.col("text")).alias("ids")), "ids")
 
@@ -118,7 +131,7 @@ SRC = "WITH z AS (SELECT coalesce(lang, 'none') AS ds_idx, count(*) AS size, len
 QUERIES = {
     "q_chatml": _rendered("chatml"), "q_llama3": _rendered("llama3"), "q_alpaca": _rendered("alpaca"), "q_conversation_json": q_conversation_json, "q_pack_conversations": q_pack_conversations,
     "q_pack_sequences": q_pack_sequences, "q_pack_efficiency": q_pack_efficiency, "q_curriculum_linear": _staged("linear"), "q_curriculum_step": _staged("step"), "q_hardest_first": q_hardest_first,
-    "q_stage_for_epoch": q_stage_for_epoch, "q_token_windows": q_token_windows, "q_stream_windows": q_stream_windows, "q_mixture_schedule": q_mixture_schedule, "q_bpe_pairs": q_bpe_pairs, "q_bpe_roundtrip": q_bpe_roundtrip,
+    "q_stage_for_epoch": q_stage_for_epoch, "q_token_windows": q_token_windows, "q_stream_windows": q_stream_windows, "q_mixture_schedule": q_mixture_schedule, "q_configured_pipeline": q_configured_pipeline, "q_replacement_draws": q_replacement_draws, "q_bpe_pairs": q_bpe_pairs, "q_bpe_roundtrip": q_bpe_roundtrip,
 }
 ORACLES = {
     "q_chatml": C + f" SELECT conv_id, {CHATML} AS rendered FROM c",
@@ -142,6 +155,11 @@ SELECT idx, array_to_string(r[1:8], ' ') AS x, array_to_string(r[2:9], ' ') AS y
     "q_mixture_schedule": SRC + """, p AS (SELECT ds_idx, size, greatest(1, floor(size * weight / (SELECT sum(weight) FROM z))) AS take FROM z),
 q AS (SELECT ds_idx, take, unnest(range(0, size)) AS sample_idx FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY ds_idx ORDER BY md5('42s:' || ds_idx || ':' || sample_idx)) AS r FROM q)
 SELECT ds_idx, sample_idx, md5('42o:' || ds_idx || ':' || sample_idx) AS order_key FROM k WHERE r <= take""",
+    "q_configured_pipeline": f"""WITH k AS (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 100 AND 3000 QUALIFY row_number() OVER (PARTITION BY {DIGEST} ORDER BY doc_id) = 1),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY len({WORDS}), doc_id) - 1 AS rank, count(*) OVER () AS n FROM k)
+SELECT least(rank // (n // 5), 4)::INTEGER AS stage, count(*) AS documents, sum(doc_id)::BIGINT AS checksum FROM r GROUP BY 1""",
+    "q_replacement_draws": """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rank FROM events), a AS (SELECT i AS draw, (('0x' || md5('3:' || i)[1:12])::BIGINT % (SELECT count(*) FROM events)) AS rank FROM range(5000) t(i))
+SELECT draw, event_id FROM a JOIN e USING (rank)""",
     "q_bpe_pairs": """WITH h AS (SELECT hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT unnest(list_transform(range(1, length(h) - 2, 2), lambda i: h[i:i + 3])) AS x FROM h WHERE length(h) >= 4)
 SELECT ('0x' || x[1:2])::INTEGER AS "left", ('0x' || x[3:4])::INTEGER AS "right", count(*) AS n FROM p GROUP BY 1, 2""",
 }
