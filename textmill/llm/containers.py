@@ -7,10 +7,10 @@
    often each is to be used so that together they use up the histogram.
 3. Repeats are rounded down. Items are spread over shards of about SHARD_ITEMS
    by a hash of their id, each a likeness of the whole; every shard plays its
-   share of the patterns. All but the smallest place of a pattern are filled
-   from their level, the last one and any room left by the largest item that
-   fits, by exact size. What remains is packed largest first, the best fit
-   next. A shard leaves at most one container open, about one in ten thousand.
+   share of the patterns. The places of a pattern are filled from their
+   levels, the last one by an item whose exact size completes the container,
+   and what room is left by the largest items that fit. Containers not full
+   are undone. What remains is packed largest first, the best fit next. A shard leaves at most one container open, about one in ten thousand.
 
 Only (id, size) rows are shuffled, never texts. Items longer than a container
 are cut into full containers and one rest, which is an item like others.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textmill.runtime import materialize
 
-LEVELS, DOCS_IN_PATTERN, SHARD_ITEMS = 128, 3, 50_000
+LEVELS, DOCS_IN_PATTERN, SHARD_ITEMS, TRIES, WEIGHT_POWER = 128, 3, 50_000, 24, 4
 #: More containers kinds than this are not sent to the driver at once.
 MOST_TARGETS = 1000
 
@@ -105,7 +105,8 @@ def fit(histogram: dict[int, int], levels: int = LEVELS) -> list[tuple[tuple[int
     for j, p in enumerate(held):
         for k in p:
             a[k - 1, j] += 1
-    x = nnls(a, b) * total
+    weigh = (np.arange(1, levels + 1) / levels) ** WEIGHT_POWER  # what stays of large items costs room, small ones fill gaps
+    x = nnls(a * weigh[:, None], b * weigh) * total
     return sorted(((p, float(r)) for p, r in zip(held, x) if r > 0), key=lambda t: (-t[1], t[0]))
 
 
@@ -134,32 +135,78 @@ class _Stock:
             self.bits &= ~(1 << size)
         return k
 
+    def put(self, size: int, k: int) -> None:
+        self.by[size].append(k)
+        self.bits |= 1 << size
+
 
 def pack(ids: np.ndarray, sizes: np.ndarray, room: int, plan: list[tuple[tuple[int, ...], float]], share: float, levels: int = LEVELS) -> list[list[int]]:
-    """Containers of row numbers; ``sizes`` are at most ``room``, joiners included."""
-    stock, step = _Stock(ids, sizes), -(-room // levels)
+    """Containers of row numbers; ``sizes`` are at most ``room``, joiners included.
+
+    A pattern says from which levels the items come. Which of a level is left
+    to the exact sizes: the place before the last tries TRIES sizes of its
+    level for one that another item completes to the full room. Containers
+    that come out less than full by more than a thousandth are taken apart
+    again; their items go to the rest.
+    """
+    stock, step, spare = _Stock(ids, sizes), -(-room // levels), room // 1000
     full: list[list[int]] = []
 
-    def top_up(rows: list[int], left: int) -> None:
-        while (s := stock.largest(left)) is not None:
-            rows.append(stock.take(s))
+    def in_level(level: int, most: int) -> Iterator[int]:
+        s = stock.largest(min(most, level * step), (level - 1) * step + 1)
+        for _ in range(TRIES):
+            if s is None:
+                return
+            yield s
+            s = stock.largest(s - 1, (level - 1) * step + 1)
+
+    def chosen(pattern: tuple[int, ...]) -> list[int]:
+        """Sizes for the places of a pattern, the fullest of those tried."""
+        head, left = [], room
+        for level in pattern[:-2]:
+            s = next(in_level(level, left), None)
+            if s is None:
+                return []
+            head.append(s)
             left -= s
-        full.append(rows)
+        if len(pattern) == 1:
+            s = stock.largest(left)
+            return [s] if s is not None else []
+        best: list[int] = []
+        for s in in_level(pattern[-2], left):
+            if head.count(s) >= len(stock.by[s]):
+                continue
+            last = stock.largest(left - s)
+            got = [s] if last is None or [*head, s].count(last) >= len(stock.by[last]) else [s, last]
+            if sum(got) > sum(best):
+                best = got
+            if sum(best) == left:
+                break
+        return head + best if best else []
 
     for pattern, repeats in plan:
         for _ in range(int(repeats * share)):
-            rows, left = [], room
-            for level in pattern[:-1] if len(pattern) > 1 else pattern:
-                s = stock.largest(min(left, level * step), (level - 1) * step + 1)
-                if s is None:
-                    break
+            picked = chosen(pattern)
+            if not picked:
+                break
+            rows, left = [], room - sum(picked)
+            for s in picked:
+                rows.append(stock.take(s))
+            while (s := stock.largest(left)) is not None:
                 rows.append(stock.take(s))
                 left -= s
-            if not rows:
+            if left > spare:
+                for k in rows:
+                    stock.put(int(sizes[k]), k)
                 break
-            top_up(rows, left)
+            full.append(rows)
     while (s := stock.largest(room)) is not None:
-        top_up([stock.take(s)], room - s)
+        rows, left = [], room
+        while s is not None:
+            rows.append(stock.take(s))
+            left -= s
+            s = stock.largest(left)
+        full.append(rows)
     return full
 
 
