@@ -40,3 +40,13 @@ def test_stream_dedupe_text(spark, tmp_path):
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     s = curation.stream_dedupe_text(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "text", "ts", "1 day")
     assert curation.run_to_table(s, str(tmp_path / "out"), str(tmp_path / "state")).select("text").distinct().count() == 7
+
+
+def test_written_tables(spark, monkeypatch):
+    from textmill import runtime
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    df = runtime.materialize(spark.range(5), "t")
+    assert df.count() == 5 and (before is None or runtime.shared_dir(spark) == before.rstrip("/"))
+    assert runtime.spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert runtime.discard_tables(spark) >= 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,8 +252,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
-    home = shared_dir(spark).removeprefix("file://") if shared_dir(spark).startswith("file://") else tempfile.gettempdir()
-    work = tempfile.mkdtemp(prefix="stream-", dir=home)
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return streams.run_to_table(df, f"{work}/out", f"{work}/state")
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process has written to shared folders.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
@@ -16,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="textmill-")
+        own = tempfile.mkdtemp(prefix="textmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        given = "file://" + own
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
@@ -25,15 +33,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage like ``checkpoint()`` and survives the loss of executors,
-    but stays columnar, so later stages read only the columns they use.
+    but stays columnar, so later stages read only the columns they use. The
+    table stays until ``discard_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has written, when no result needs it any more."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that has fewer partitions than the session has cores.
 
