@@ -15,8 +15,9 @@ from textmill.runtime import shared_dir
 from textmill.streaming import curation as streams
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/preference_pairs.parquet").select("pair_id", "prompt", "chosen", "rejected", "chosen_score", "rejected_score", "source").distinct()
+def _pairs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Each pair once. Only the columns asked for go through the shuffle."""
+    return spark.read.parquet(f"{d}/preference_pairs.parquet").select("pair_id", *(cols or ("prompt", "chosen", "rejected"))).distinct()
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -31,13 +32,13 @@ def q_best_of_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_pairs_two_models(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where("chosen_score is not null and rejected_score is not null")
+    p = _pairs(spark, d, "chosen", "rejected", "chosen_score", "rejected_score").where("chosen_score is not null and rejected_score is not null")
     pair = preference.pairs_of_two(F.col("rejected"), F.col("chosen"), F.col("rejected_score"), F.col("chosen_score"))
     return p.select("pair_id", pair.alias("p")).select("pair_id", "p.*")
 
 
 def q_preference_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    a = preference.preference_accuracy(_pairs(spark, d).where("chosen_score is not null and rejected_score is not null"), F.col("chosen_score") - F.col("rejected_score"), ["source"])
+    a = preference.preference_accuracy(_pairs(spark, d, "chosen_score", "rejected_score", "source").where("chosen_score is not null and rejected_score is not null"), F.col("chosen_score") - F.col("rejected_score"), ["source"])
     return a.select("source", "correct", "total", F.round("accuracy", 6).alias("accuracy"), F.round("mean_score", 6).alias("mean_score"))
 
 
@@ -84,7 +85,7 @@ def q_pass_at_1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_helpfulness(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).groupBy("source").agg(F.count_if(evaluation.is_helpful(F.col("chosen"))).alias("helpful"), F.count(F.lit(1)).alias("total"))
+    return _pairs(spark, d, "chosen", "source").groupBy("source").agg(F.count_if(evaluation.is_helpful(F.col("chosen"))).alias("helpful"), F.count(F.lit(1)).alias("total"))
 
 
 def q_eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +116,9 @@ def q_synthetic_prompts(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select("item_id", synthetic.evolution_prompt(F.col("question"), kind).alias("evolve"), synthetic.self_instruct_prompt(shown).alias("instruct"), synthetic.math_prompt(F.lit("hard"), F.col("task")).alias("math"))
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    return runs.once(spark.read.parquet(f"{d}/metrics_log.parquet").select("run_id", "iter", "train_loss", "val_loss", "lr", "ingested_at"))
+def _log(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Each step once, as it arrived last, with the columns asked for."""
+    return runs.once(spark.read.parquet(f"{d}/metrics_log.parquet").select("run_id", "iter", *cols, "ingested_at"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -124,22 +126,22 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_metrics_best(spark: SparkSession, d: str) -> DataFrame:
-    return runs.best_val_loss(_log(spark, d), ["run_id"])
+    return runs.best_val_loss(_log(spark, d, "val_loss"), ["run_id"])
 
 
 def q_metrics_last(spark: SparkSession, d: str) -> DataFrame:
-    return runs.last_metrics(_log(spark, d), ["run_id"], ["train_loss", "lr"])
+    return runs.last_metrics(_log(spark, d, "train_loss", "lr"), ["run_id"], ["train_loss", "lr"])
 
 
 def q_sweep_rank(spark: SparkSession, d: str) -> DataFrame:
-    best = runs.best_val_loss(_log(spark, d), ["run_id"]).select("run_id", F.col("best_val_loss").alias("val_loss"))
+    best = runs.best_val_loss(_log(spark, d, "val_loss"), ["run_id"]).select("run_id", F.col("best_val_loss").alias("val_loss"))
     joined = _runs(spark, d).join(best, "run_id", "left")
     return runs.sweep_rank(joined, "run_id", by=["mutation_type"]).select("mutation_type", F.col("rank").cast("long").alias("rank"), "run_id", "val_loss")
 
 
 def q_ab_compare(spark: SparkSession, d: str) -> DataFrame:
     """Each run against its parent."""
-    best = runs.best_val_loss(_log(spark, d), ["run_id"]).select("run_id", F.col("best_val_loss").alias("loss"))
+    best = runs.best_val_loss(_log(spark, d, "val_loss"), ["run_id"]).select("run_id", F.col("best_val_loss").alias("loss"))
     r = _runs(spark, d).select("run_id", "parent_run_id").join(best, "run_id")
     both = r.join(best.select(F.col("run_id").alias("parent_run_id"), F.col("loss").alias("base")), "parent_run_id").select("run_id", "parent_run_id", runs.compare(F.col("base"), F.col("loss")).alias("c"))
     return both.select("run_id", "parent_run_id", F.round("c.improvement_pct", 4).alias("improvement_pct"), "c.mutation_wins")
@@ -152,7 +154,7 @@ def q_lineage(spark: SparkSession, d: str) -> DataFrame:
 def q_log_scrape(spark: SparkSession, d: str) -> DataFrame:
     """Losses out of printed log lines."""
     line = F.concat(F.lit("step "), F.col("iter").cast("string"), F.lit(": train loss "), F.format_string("%.5f", F.col("train_loss")), F.lit(", val loss "), F.format_string("%.5f", F.col("val_loss")))
-    lines = _log(spark, d).select("run_id", F.col("iter").alias("line_no"), line.alias("value"))
+    lines = _log(spark, d, "train_loss", "val_loss").select("run_id", F.col("iter").alias("line_no"), line.alias("value"))
     return runs.scrape_log(lines, by=["run_id"])
 
 
@@ -162,12 +164,12 @@ def q_lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_ema_loss(spark: SparkSession, d: str) -> DataFrame:
-    ok = _log(spark, d).where("train_loss is not null and not isnan(train_loss)")
+    ok = _log(spark, d, "train_loss").where("train_loss is not null and not isnan(train_loss)")
     return runs.ema(ok, ["run_id"], "train_loss").select("run_id", "iter", F.round("ema", 5).alias("ema"))
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
-    ok = _log(spark, d).where("train_loss is not null and not isnan(train_loss) and iter is not null")
+    ok = _log(spark, d, "train_loss").where("train_loss is not null and not isnan(train_loss) and iter is not null")
     return ok.select("run_id", "iter", "train_loss", ((F.col("iter") + 1) * 1e-6).alias("rate"))
 
 
@@ -181,7 +183,7 @@ def q_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_val_points(spark: SparkSession, d: str) -> DataFrame:
-    return runs.has_val(_log(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("points"))
+    return runs.has_val(_log(spark, d, "val_loss")).groupBy("run_id").agg(F.count(F.lit(1)).alias("points"))
 
 
 def q_noise_scale(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +204,7 @@ def q_config_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_dpo_loss(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where("chosen_score is not null and rejected_score is not null")
+    p = _pairs(spark, d, "chosen_score", "rejected_score", "source").where("chosen_score is not null and rejected_score is not null")
     loss = losses.dpo_loss(F.col("chosen_score"), F.col("rejected_score"), F.lit(0.1), F.lit(0.05), 0.1, 0.05)
     return p.groupBy("source").agg(F.round(F.avg(loss), 6).alias("loss"), F.count(F.lit(1)).alias("pairs"))
 
@@ -225,7 +227,7 @@ def q_top_k_logits(spark: SparkSession, d: str) -> DataFrame:
 
 def q_loss_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """Mean loss of runs by status."""
-    joined = _log(spark, d).join(_runs(spark, d).select("run_id", "status"), "run_id").where("train_loss is not null and not isnan(train_loss)")
+    joined = _log(spark, d, "train_loss").join(_runs(spark, d).select("run_id", "status"), "run_id").where("train_loss is not null and not isnan(train_loss)")
     return runs.mean_by_split(joined, "status", "train_loss").select("status", F.round("loss", 6).alias("loss"), "batches", F.round("perplexity", 4).alias("perplexity"))
 
 
