@@ -220,7 +220,7 @@ def fill_containers(items: DataFrame, targets: DataFrame, id_col: str, size_col:
     length size) unless it exceeds ``max_length``; then its pieces are
     numbered in order, all but the last of full length.
 
-    Rows of one id count once, with the largest size. Null ids or sizes, and
+    Ids are whole numbers. Rows of one id count once, with the largest size. Null ids or sizes, and
     sizes below one, take no part. Targets of null or non-positive length are
     left out, null joiners are none. No items or no targets give no rows.
     """
