@@ -11,6 +11,7 @@ CASES = [
     (Q, "No.", None), (Q, "42", None), (Q, "B", None), (Q, "Yes", None), (Q, "step 31", None), (Q, "1e-5", None), (Q, "Halve the batch size.", None),
     (Q, Q, "copied_prompt"), (Q, Q.upper(), "copied_prompt"), (Q, f'"{Q}"', "copied_prompt"), (Q, "how  do i lower the step time of young-vole-12", "copied_prompt"), (Q, f"{Q} {Q}", "copied_prompt"), (Q, f"Question: {Q}", "copied_prompt"), (Q, "How do I lower the time of young-vole-12?", "copied_prompt"),
     (Q, f'You ask: "{Q}" Halve the batch size, then restart the run.', None),
+    ("word " * 90 + "and so on, what now?", 'You ask: "' + "word " * 90 + 'and so on, what now?" Halve the batch size.', None),
     (Q, "I'm sorry, but I can't help with that.", "refusal"), (Q, "i cant answer that", "refusal"), (Q, "I must decline to comment on young-vole-12. Is there anything else you would like to know?", "refusal"),
     (Q, "Sorry for the late reply. Halve the batch size.", None), (Q, "I can't reproduce the stall here, but the fix is known: halve the batch size.", None),
     ("Was tun, wenn die Platte voll war?", "Das kann ich leider nicht beantworten.", "refusal"), ("为什么停了？", "抱歉，我无法回答这个问题。", "refusal"), ("なぜ止まったのか？", "申し訳ありませんが、お答えできません。", "refusal"),

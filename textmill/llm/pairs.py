@@ -137,9 +137,10 @@ def is_copy(prompt: str, answer: str) -> bool:
         return False
     times = max(1, round(len(b) / len(a)))
     shared = common_subsequence(a * times, b)
-    if shared >= 0.8 * len(b) and shared >= 0.6 * len(a) * times:
+    # words may be changed or left out, but more than a label added is an answer
+    if shared >= 0.8 * len(b) and shared >= 0.6 * len(a) * times and len(b) <= len(a) * times + 3:
         return True
-    return contained >= 0.9 and len(b) >= (12 if letters else 5) and shared >= 0.9 * len(b)
+    return contained >= 0.9 and len(a) >= len(b) >= (12 if letters else 5) and shared >= 0.9 * len(b)
 
 
 def language(text: str) -> str | None:
