@@ -1,33 +1,36 @@
 """Defects of preference pairs: empty, copied, refused, foreign or broken-off answers.
 
-An answer is compared with its prompt and with refusal templates on tokens
-(words; letters where a script has no blanks): shingle containment picks what
-can be a copy, and the longest common subsequence decides it, so that changed
-case, marks, blanks, a left-out word or a repetition don't hide one. Sentences
-of an answer that align with a refusal template, or only offer help, are taken
-away; a refusal has nothing left.
-
-One statistic covers all answers: the forms of list entries with numbers and
-names masked. Entries break off where they are the beginning of a form that is
-far more frequent. Only forms with a share of at least ``FORM_SHARE`` of all
-entries are kept, so there are at most ``1 / FORM_SHARE`` of them, whatever the
-input. Everything else is one narrow stage without a shuffle.
+An answer is compared with its prompt on tokens (words; letters where a script
+has no blanks): shingle containment picks what can be a copy, and the longest
+common subsequence decides it, so that changed case, marks, blanks, a left-out
+word or a repetition don't hide one. A word that the prompt lacks, or a question
+turned into a statement, makes it an answer. Refusals are aligned with slot
+templates (``refusals``), languages compared by profiles of a bounded labelled
+sample (``languages``), and what breaks off is seen from its open structures and
+its last words.
+
+The verdict on a side depends on the pair alone, whatever else the table holds.
+The work is one narrow stage; only the small result is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.sentences import BEFORE_NUMBER, MAY_END, RUNS_ON, segment
+from textmill.llm.languages import QUOTED, Profiles, Reading, differ, is_not
+from textmill.llm.refusals import is_refusal
+from textmill.llm.sentences import MAY_END, RUNS_ON
 from textmill.llm.words import WORD
 from textmill.runtime import spread
 
-FORM_SHARE = 1e-4
+#: A long answer is compared with its prompt in stretches of so many prompts.
+STRETCH = 16
 
 # Fixed values.
 #: What stands for no answer.
@@ -36,32 +39,6 @@ PLACEHOLDERS = frozenset("na null none nil nan undefined tbd todo empty blank le
 }
 #: Labels of a turn, in front of an answer or alone.
 LABELS = ("assistant", "assistent", "answer", "response", "antwort", "réponse", "reponse", "respuesta", "asistente", "ответ", "ассистент", "助手", "回答", "答", "アシスタント", "question", "frage", "pregunta", "вопрос", "问题", "質問", "prompt", "user", "human", "q", "a", "gpt", "bot")
-#: Refusals; an asterisk stands for what they are about.
-REFUSALS = (
-    "i'm sorry but i can't help with that", "i am sorry but i cannot help with *", "sorry i can't help with *", "i can't help with *", "i cant answer that", "i can't answer *", "i cannot answer *",
-    "i am unable to answer this question", "i'm unable to help with *", "i'm not able to answer *", "i am not able to help with *", "regrettably no answer can be provided here", "no answer can be provided", "i must decline to comment on *", "i decline to answer *", "i have to decline *", "i won't compare * and i would ask you not to insist",
-    "i won't answer *", "i will not answer *", "i will not discuss *", "i won't discuss *", "i'd rather not *", "i would rather not *", "i refuse to answer *", "as a language model i do not give advice on *", "as an ai language model i cannot *", "as an ai i can't *", "i cannot assist with *", "i can't assist with *", "i cannot provide *", "i can't provide *", "i can't comment on *", "i cannot comment on *", "this is not something i can help with", "i don't want to talk about *", "i do not want to answer *", "sorry no", "i am sorry",
-    "my guidelines do not allow me to *", "i am not allowed to *", "i'm not permitted to discuss *", "that is not something i'm able to assist with", "that is not something i'm able to assist with however *", "that is not something i can *", "i don't feel comfortable answering this", "i am not comfortable *", "this request is outside what i may discuss", "unfortunately this is outside what i can *", "i have no permission to *", "this question can't be answered here", "i prefer not to answer",
-    "das kann ich leider nicht beantworten", "das kann ich nicht beantworten", "tut mir leid zu * darf ich nichts sagen", "bei dieser anfrage muss ich passen bitte wenden sie sich an jemand anderen", "dazu kann ich nichts sagen", "dazu möchte ich mich nicht äußern", "dazu darf ich keine auskunft geben", "leider kann ich ihnen dabei nicht helfen", "dabei kann ich nicht helfen", "es tut mir leid aber ich kann * nicht beantworten", "ich kann diese frage nicht beantworten", "ich darf dazu nichts sagen", "ich bin nicht befugt * zu sprechen", "ich darf nicht über * sprechen", "darüber möchte ich nicht sprechen", "dazu äußere ich mich nicht", "diese frage möchte ich nicht beantworten", "meine richtlinien erlauben mir nicht *", "als sprachmodell gebe ich keine ratschläge zu *", "tut mir leid",
-    "désolé je ne peux pas répondre à cette question", "je ne peux pas répondre à *", "je préfère ne pas aborder ce sujet", "je préfère ne pas répondre", "je ne suis pas autorisé à parler de *", "il ne m'est pas permis de parler de *", "mes consignes ne me permettent pas de *", "je ne souhaite pas répondre à *", "je ne suis pas en mesure de répondre *", "je ne peux pas vous aider *", "je regrette mais je ne peux rien dire sur *", "je ne peux rien dire sur *", "je dois décliner *", "en tant que modèle de langue je ne donne pas de conseils sur *", "désolé",
-    "lo siento no puedo ayudar con eso", "no puedo ayudar con *", "no puedo responder *", "lo siento pero no puedo responder a *", "prefiero no hablar de *", "prefiero no responder a esta pregunta", "no me está permitido hablar de *", "no estoy autorizado a hablar de *", "mis normas no me permiten *", "no quiero hablar de *", "no puedo decir nada sobre *", "no estoy en condiciones de responder", "me temo que no puedo *", "debo negarme a *", "como modelo de lenguaje no doy consejos sobre *", "sobre * no puedo opinar", "de * no puedo hablar", "lo siento",
-    "извините я не могу ответить на этот вопрос", "я не могу ответить на *", "к сожалению я не могу *", "к сожалению ответить не могу", "я не могу помочь с *", "о * я говорить не могу", "мне нельзя обсуждать *", "мне не разрешено говорить о *", "мои правила не позволяют мне *", "я предпочитаю не отвечать на этот вопрос", "предпочту не отвечать", "я предпочту не отвечать", "я не буду обсуждать *", "предпочитаю не обсуждать *", "вынужден отказаться от *", "я вынужден отказаться *", "на этот вопрос я отвечать не буду", "о * говорить не буду", "об этом я говорить не могу", "извините",
-    "抱歉我无法回答这个问题", "抱歉我不能回答这个问题", "对不起我无法回答这个问题", "我无法回答*", "我不能回答*", "关于*的内容我不便讨论", "关于*我不便多说", "我不便讨论*", "很抱歉我无法提供*", "抱歉我无法提供帮助", "作为语言模型我不提供*建议", "这个问题我不便回答", "恕我不能回答*", "我不被允许讨论*", "我无权讨论*", "我不想回答这个问题", "我选择不回答这个问题", "这超出了我可以讨论的范围", "我帮不上忙", "抱歉", "对不起",
-    "申し訳ありませんがお答えできません", "申し訳ございませんがお答えできません", "*についてはお話しできません", "*についてはお答えできません", "その質問にはお答えできません", "お答えを控えさせていただきます", "回答を控えさせていただきます", "*についての回答は控えます", "お手伝いできません", "*についてお話しすることはできません", "*について話すことは許されていません", "この質問にはお答えしかねます", "*にはお答えしかねます", "回答は差し控えます", "その件については答えられません", "お答えしないでおきます", "申し訳ありませんがお手伝いできません", "言語モデルとして*助言はしません", "申し訳ありません", "すみません",
-)
-#: Politeness around a refusal; no answer and no refusal by itself.
-OFFERS = (
-    "is there anything else you would like to know", "is there anything else i can help with", "can i help with anything else", "thank you for the question", "thanks for asking", "please ask someone else", "please ask someone else about *", "there may be better places to ask about *", "i would ask you not to insist", "however harmless it may be", "let me know if there is anything else",
-    "kann ich sonst etwas tun", "kann ich sonst noch helfen", "haben sie noch fragen", "danke für die frage", "puis-je aider autrement", "puis je vous aider autrement", "avez-vous d'autres questions", "merci pour la question", "autre chose",
-    "algo más", "puedo ayudar en algo más", "tiene otras preguntas", "gracias por la pregunta", "есть другие вопросы", "могу я помочь чем-то ещё", "спасибо за вопрос", "还有其他问题吗", "还有别的问题吗", "谢谢提问", "感谢您的提问", "ほかに質問はありますか", "他に質問はありますか", "ご質問ありがとうございます",
-)
-#: Frequent words that tell languages of one script apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for it was on with as at by from this be are or an have has had not but what why which when how did does do before after between since nothing we our you your i a no yes if then than there their its were who all only can will would should into over until because while once most first per more about out up down there here answered nobody any some",
-    "de": "der die das und ist nicht mit auf für von zu im den dem des ein eine einen einem einer als auch es an werden aus er hat dass sie nach wird bei einen um am sind noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich hatte wir warum was wenn seit weil ob kann ja nein sich ab wieder gegen erst spät danach dazu leider keine kein unter zwischen doch kurz fest siehe zuerst gesagt niemand jetzt hier dort etwas alle",
-    "fr": "le la les de des du et est un une en que qui dans pour pas sur au aux ce il elle ne se sont plus par avec nous vous je son sa ses mais ou où cette été avait avons avant après comme depuis quand pourquoi alors oui non à y a ont était très sans on puis leur même peux être tard trop bref voir rien personne ici chaque tout",
-    "es": "el la los las de del y es un una en que por para con no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde nos nosotros todo uno les ni contra otros ese eso ante perdimos hemos había fue son está qué cuándo cómo a tras antes frente en nadie breve aquí ahora dijo estaba quedó pasó tarde nada cada",
-}
 #: How a prompt names the language it wants its answer in.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés английск 英语 英文 英語", "de": "german deutsch allemand alemán немецк 德语 德文 ドイツ語", "fr": "french französisch français francés французск 法语 法文 フランス語", "es": "spanish spanisch espagnol español испанск 西班牙语 スペイン語",
@@ -72,26 +49,23 @@ _ASKING = re.compile(
 )
 _NAMED = [(lang, re.compile("|".join(rf"\b{w}" if w.isascii() or not re.match("[一-鿿ァ-ヶ]", w) else w for w in names.split()), re.I)) for lang, names in LANGUAGE_NAMES.items()]
 
+_NAMES = [w for names in LANGUAGE_NAMES.values() for w in names.split()]
 _TAG = re.compile(r"<\|?/?[\w\s]{1,24}\|?/?>")
-_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|```.*?(?:```|$)|`[^`]*`", re.S)
 _DENSE = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
-_KANA = re.compile(r"[぀-ヿ]")
-_HAN = re.compile(r"[㐀-䶿一-鿿]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_OTHER_SCRIPTS = {"th": re.compile(r"[฀-๿]"), "hi": re.compile(r"[ऀ-ॿ]"), "ar": re.compile(r"[؀-ۿ]"), "ko": re.compile(r"[가-힯]")}
-_LATIN = re.compile(r"[a-zà-öø-ÿœßA-ZÀ-ÖØ-ÞŒẞ]+")
-_NAME_LIKE = re.compile(r"[A-Za-z]+(?:[-_.]\w+)+|\b\w*\d\w*\b")
 _BRACKETS = re.compile(r"[()\[\]{}（）「」『』«»]")
 _END = ".!?。！？…।؟｡．"
 _CLOSE = "\"'”’»“」』)）]】*_`"
 _ENTRY = re.compile(r"[ \t]*([-*+•]|\d{1,3}[.)])(?:[ \t]+(.*)|$)")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*(?:e-?\d+)?")
-_CODE_NAME = re.compile(r"\b[\w]+(?:[-_.][\w]+)+\b")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
+_NAME_LIKE = re.compile(r"[A-Za-z]+(?:[-_.]\w+)+|\b\w*\d\w*\b")
 #: Words that can't be the last of an entry or of a short answer.
 DANGLING = frozenset("the a an of to in on at by for with from and or but which that because as if than into is are was were be der die das den dem ein eine und oder mit von zu für im weil dass le la les de des du et un une à dans avec pour que el los las y en con por para un una и в на с к по для что".split())
 
-_UNQUOTED = str.maketrans({c: " " for c in "\"“”„«»「」『』`"})
-_WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+
+#: Small words that may be added to a prompt without saying anything.
+ADDED = frozenset("a an the of to please so ok bitte s il vous plaît por favor пожалуйста 请".split())
+#: What ends a question in scripts whose questions need no other order.
+QUESTION_ENDS = ("吗", "呢", "么", "か", "の")
 
 
 def dense(text: str) -> bool:
@@ -121,131 +95,126 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - rows.bit_count()
 
 
-def is_copy(prompt: str, answer: str) -> bool:
-    """The answer only says the prompt, or a sentence of it, again."""
-    letters = dense(prompt)
-    a, b = tokens(prompt, letters), tokens(answer, letters)
-    while b and b[0] in LABELS and b[0] not in a[:1]:
-        b = b[1:]
-    if len(b) < 2 or len(a) < 2 or len(b) > 4 * len(a) + 4:
+def _nearly(word: str, known: frozenset[str]) -> bool:
+    """A known word in another form: a letter more or less, or another ending."""
+    if word in known or word in ADDED:
+        return True
+    if any(c.isdigit() for c in word) or len(word) < 4:
         return False
-    k = 2
-    grams = {tuple(a[i : i + k]) for i in range(len(a) - k + 1)}
-    mine = [tuple(b[i : i + k]) for i in range(len(b) - k + 1)]
-    contained = sum(g in grams for g in mine) / len(mine)
-    if contained < 0.5:
+    drop = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return any(
+        k[:3] == word[:3] and abs(len(k) - len(word)) <= 2 and (k.startswith(word) or word.startswith(k) or k in drop or any(k[:i] + k[i + 1 :] in drop or k[:i] + k[i + 1 :] == word for i in range(len(k))))
+        for k in known if len(k) >= 4 and not any(c.isdigit() for c in k)
+    )
+
+
+def _repeats(a: list[str], b: list[str], letters: bool) -> bool:
+    """The tokens b say a once or more, and nothing else."""
+    if len(b) < 2 or len(a) < 2:
+        return False
+    known = frozenset(a)
+    strange = [w for w in b if w not in known]
+    if len(strange) > len(b) // 5 or (strange and (letters and len(b) < 20 or not all(_nearly(w, known) for w in strange))):
+        return False
+    grams = {tuple(a[i : i + 2]) for i in range(len(a) - 1)}
+    if 2 * sum((x, y) in grams for x, y in zip(b, b[1:])) < len(b) - 1:
         return False
     times = max(1, round(len(b) / len(a)))
-    shared = common_subsequence(a * times, b)
-    # words may be changed or left out, but more than a label added is an answer
-    if shared >= 0.8 * len(b) and shared >= 0.6 * len(a) * times and len(b) <= len(a) * times + 3:
-        return True
-    return contained >= 0.9 and len(a) >= len(b) >= (12 if letters else 5) and shared >= 0.9 * len(b)
-
-
-def language(text: str) -> str | None:
-    """The language a text is written in, where its words tell."""
-    bare = _QUOTED.sub(" ", text)
-    if len(_DENSE.findall(bare)) < 3 and len(_LATIN.findall(bare)) < 3 and not _CYRILLIC.search(bare):
-        bare = text
-    kana, han, cyr = len(_KANA.findall(bare)), len(_HAN.findall(bare)), len(_CYRILLIC.findall(bare))
-    plain = _NAME_LIKE.sub(" ", bare)
-    latin = [w.lower() for w in _LATIN.findall(plain)]
-    letters = sum(map(len, latin))
-    for lang, script in _OTHER_SCRIPTS.items():
-        if len(n := script.findall(bare)) >= 3 and len(n) > letters:
-            return lang
-    if kana + han >= 2 and (kana + han) * 3 >= letters:
-        return "ja" if kana * 8 >= han and kana else "zh"
-    if cyr >= 3 and cyr >= letters:
-        return "ru"
-    if len(latin) < 3:
-        return None
-    score = {lang: sum(w in ws for w in latin) for lang, ws in _WORDS.items()}
-    joined = " ".join(latin)
-    score["de"] += 0.5 * len(re.findall(r"[äöüß]", joined))
-    score["fr"] += 0.5 * len(re.findall(r"[àâçèêëîïôùûœ]|\b[ldnscmj]['’ ](?=[aeiouéh])", bare.lower()))
-    score["es"] += 0.5 * len(re.findall(r"[ñáíóú¿¡]", bare.lower()))
-    order = sorted(score, key=lambda k: -score[k])
-    best, second = score[order[0]], score[order[1]]
-    if best >= max(2, 0.12 * len(latin)) and best >= 1.25 * second:
-        return order[0]
-    return language(text.translate(_UNQUOTED)) if bare != text and len(latin) < 12 else None
+    if len(b) <= STRETCH * len(a):
+        shared = common_subsequence(a * times, b)
+    else:
+        # a stretch begins anywhere in the prompt, so it meets one prompt more than it is long
+        step = STRETCH * len(a)
+        shared = sum(common_subsequence(a * (STRETCH + 1), b[k : k + step]) for k in range(0, len(b), step))
+    return shared >= 0.8 * len(b) and shared >= 0.6 * len(a) * times and len(b) <= len(a) * times + max(3, len(a) // 2)
+
+
+def _states(prompt: str, answer: str, a: list[str], b: list[str]) -> bool:
+    """The answer turns the question of the prompt into a statement."""
+    asked, said = prompt.rstrip(_CLOSE + " \n"), answer.rstrip(_CLOSE + " \n")
+    if not asked.endswith(("?", "？", "؟")) or said.endswith(("?", "？", "؟")):
+        return False
+    bare, mine = asked.rstrip("?？ "), said.rstrip(".。!！ ")
+    if _DENSE.search(asked) and bare.endswith(QUESTION_ENDS):
+        return not mine.endswith(QUESTION_ENDS)
+    return len(b) <= len(a) + 1 and bool(b) and b[0] != a[0]
+
+
+def _by_head(letters: bool) -> dict[str, list[list[str]]]:
+    heads: dict[str, list[list[str]]] = {}
+    for label in LABELS:
+        said = tokens(label, letters)
+        heads.setdefault(said[0], []).append(said)
+    return heads
+
+
+_LABELS = {letters: _by_head(letters) for letters in (False, True)}
+
+
+def is_copy(asked: _Asked, answer: str) -> bool:
+    """The answer only says the prompt, or what the prompt asks, again."""
+    b = tokens(answer, asked.letters)
+    for part, a in asked.parts:
+        mine = b
+        for said in _LABELS[asked.letters].get(b[0], ()) if b else ():
+            if mine[: len(said)] == said and a[: len(said)] != said:
+                mine = mine[len(said) :]
+                break
+        if _repeats(a, mine, asked.letters) and not _states(part, answer, a, mine):
+            return True
+    return False
 
 
 def wanted_language(prompt: str) -> str | None:
-    """The language asked for, else the one of the prompt."""
-    asked = _ASKING.search(_QUOTED.sub(" ", prompt))
+    """The language that a prompt asks for by name."""
+    low = prompt.lower()
+    if not any(name in low for name in _NAMES):
+        return None
+    asked = _ASKING.search(QUOTED.sub(" ", prompt))
     if asked:
         near = prompt[max(0, asked.start() - 30) : asked.end() + 40]
         named = [(m.start(), lang) for lang, p in _NAMED if (m := p.search(near))]
         if named:
             return min(named)[1]
-    return language(prompt)
-
-
-def _template(line: str) -> list[str]:
-    return [x for part in re.split(r"(\*)", line.lower()) for x in ([part] if part == "*" else tokens(part, bool(_DENSE.search(part))))]
-
-
-class _Templates:
-    """Templates with an index of their words: few are compared with a sentence."""
-
-    def __init__(self, lines: tuple[str, ...]):
-        self.all = [([x for x in t if x != "*"], "*" in t) for t in map(_template, lines)]
-        self.by: dict[str, list[int]] = {}
-        for k, (fixed, _) in enumerate(self.all):
-            for w in set(fixed):
-                self.by.setdefault(w, []).append(k)
-
-    def aligned(self, sentence: list[str], tolerance: float = 0.85) -> bool:
-        """The sentence says a template: its words in order, and little else."""
-        met: dict[int, int] = {}
-        for w in set(sentence):
-            for k in self.by.get(w, ()):
-                met[k] = met.get(k, 0) + 1
-        for k, n in met.items():
-            fixed, open_ = self.all[k]
-            if n < tolerance * len(set(fixed)) - 1e-9 or len(sentence) < tolerance * len(fixed):
-                continue
-            if len(sentence) - len(fixed) > (12 if open_ else 0) + len(fixed) // 3:
-                continue
-            shared = common_subsequence(fixed, sentence)
-            if shared >= tolerance * len(fixed) and (open_ or shared >= 0.7 * len(sentence)):
-                return True
-        return False
+    return None
 
 
-_REFUSALS, _OFFERS = _Templates(REFUSALS), _Templates(OFFERS)
+class _Asked:
+    """A prompt with what its answers are compared with."""
 
+    def __init__(self, prompt: str, profiles: Profiles):
+        self.text, self.letters = prompt, dense(prompt)
+        self.parts = [(prompt, tokens(prompt, self.letters))]
+        parts = [p for p in _SENTENCE.split(prompt) if WORD.search(p)]
+        if len(parts) > 1:
+            for k, p in enumerate(parts):
+                if k == 0 or p.rstrip().endswith(("?", "？")):
+                    a = tokens(p, self.letters)
+                    if len(a) >= (8 if self.letters else 5):
+                        self.parts.append((p, a))
+        self.named = wanted_language(prompt)
+        self.reading = None if self.named else Reading(prompt, profiles)
 
-def is_refusal(answer: str) -> bool:
-    if len(answer) > 600:
+
+def is_foreign(asked: _Asked, answer: str, profiles: Profiles) -> bool:
+    """Not in the language that the prompt names, or else is in."""
+    if asked.named is None and asked.reading.lang is None:
         return False
-    refused = False
-    for s, e in segment(answer, {}):
-        said = answer[s:e]
-        ws = tokens(said.replace("’", "'"), bool(_DENSE.search(said)))
-        if not ws:
-            continue
-        if _REFUSALS.aligned(ws):
-            refused = True
-        elif not _OFFERS.aligned(ws):
-            parts = re.split(r"[.!?。！？]\s*|\s(?=(?:Is|Can|Kann|Puis|Let)\s)", said)
-            rest = [w for p in parts if (w := tokens(p, bool(_DENSE.search(p))))]
-            kinds = [(_REFUSALS.aligned(w), _OFFERS.aligned(w)) for w in rest]
-            if len(rest) < 2 or not all(a or b for a, b in kinds):
-                return False
-            refused = refused or any(a for a, _ in kinds)
-    return refused
+    if asked.text and asked.text in answer:
+        answer = answer.replace(asked.text, " ")
+    got = Reading(answer, profiles)
+    return is_not(asked.named, got, profiles) if asked.named else differ(asked.reading, got, profiles)
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    bare = _TAG.sub(" ", answer)
-    bare = re.sub(r"```\w*", " ", bare)
-    ws = WORD.findall(bare.lower())
+    bare = _TAG.sub(" ", answer) if "<" in answer else answer
+    bare = re.sub(r"```\w*", " ", bare) if "```" in bare else bare
+    ws = [m[0] for m in islice(WORD.finditer(bare), 4)]
+    if len(ws) > 3:
+        return False
+    ws = [w.lower() for w in ws]
     if not ws:
         return True
     if " ".join(ws) in PLACEHOLDERS and len(ws) <= 3 and not (len(ws) == 1 and len(ws[0]) == 1 and ws[0].isascii()):
@@ -253,11 +222,6 @@ def is_empty(answer: str | None) -> bool:
     return len(ws) <= 1 and ws[0] in LABELS and len(ws[0]) > 1 and bool(re.search(r"[:：]\s*$", bare))
 
 
-def entry_form(line: str) -> str:
-    """A list entry with numbers and names masked."""
-    return _NUMBER.sub("0", _CODE_NAME.sub("0", line.strip())).lower()
-
-
 def list_entries(text: str | None) -> list[tuple[str, str]]:
     """(marker, entry) of the list lines of a text."""
     out = []
@@ -285,7 +249,8 @@ def _unclosed(text: str) -> bool:
     return text.count('"') % 2 == 1
 
 
-def is_truncated(answer: str, forms: dict[str, int]) -> bool:
+def is_truncated(answer: str, profiles: Profiles) -> bool:
+    """The answer stops before its sentence, list entry, code or data is complete."""
     text = answer.rstrip()
     if not text:
         return False
@@ -301,13 +266,12 @@ def is_truncated(answer: str, forms: dict[str, int]) -> bool:
         if not body:
             return True
         kinds = {m if not m[0].isdigit() else "1" + m[-1] for m, _ in entries}
-        form = entry_form(body)
-        longer = max((n for f, n in forms.items() if f.startswith(form) and f != form), default=0)
-        if longer and longer >= 5 * max(1, forms.get(form, 0)):
-            return True
         if body[-1] in _END:
             return _dangling_end(body)
-        return len(kinds) > 1 or body[-1] in ",:;-–(" or WORD.findall(body.lower())[-1:] == [] or WORD.findall(body.lower())[-1] in DANGLING
+        last_word = (WORD.findall(body.lower()) or [""])[-1]
+        if len(kinds) > 1 or body[-1] in ",:;-–(" or not last_word or last_word in DANGLING:
+            return True
+        return body.split()[-1] == last_word and profiles.cut_word(last_word, Reading(answer, profiles).lang)
     bare = text.rstrip(_CLOSE + " ")
     if bare[-1:] and bare[-1] in _END:
         return _dangling_end(bare)
@@ -345,56 +309,51 @@ def _dangling_end(text: str) -> bool:
     return key in ("fig", "figs", "tab", "sec", "abb", "nr", "núm", "pág", "разд", "табл", "рис", "см", "p", "n°", "vs", "cf", "est", "ca") and len(parts) > 1
 
 
-def defect(prompt: str | None, answer: str | None, forms: dict[str, int]) -> str | None:
-    """The defect of an answer, if it has one."""
-    if is_empty(answer):
-        return "empty"
-    prompt = prompt or ""
-    if is_copy(prompt, answer):
-        return "copied_prompt"
-    if is_refusal(answer):
-        return "refusal"
-    want, got = wanted_language(prompt), language(answer)
-    if want and got and want != got:
-        return "other_language"
-    return "truncated" if is_truncated(answer, forms) else None
-
-
-def _frequent_forms(sides: DataFrame) -> dict[str, int]:
-    """Forms of list entries over all answers; at most 1 / FORM_SHARE of them."""
+def defects(prompt: str | None, answers: list[str | None], profiles: Profiles) -> list[str | None]:
+    """The defect of each answer to a prompt, if it has one."""
+    asked = None
+    out: list[str | None] = []
+    for answer in answers:
+        if is_empty(answer):
+            out.append("empty")
+            continue
+        asked = asked or _Asked(prompt or "", profiles)
+        if is_copy(asked, answer):
+            out.append("copied_prompt")
+        elif is_refusal(answer):
+            out.append("refusal")
+        elif is_foreign(asked, answer, profiles):
+            out.append("other_language")
+        else:
+            out.append("truncated" if is_truncated(answer, profiles) else None)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"form": [entry_form(b) for t in pdf["answer"] for _, b in list_entries(t)]}, dtype="object")
 
-    listed = sides.where(F.col("answer").rlike(r"(?m)^[ \t]*([-*+•]|\d{1,3}[.)])([ \t]|$)")).select("answer")
-    counts = listed.mapInPandas(run, "form string").groupBy("form").count()
-    total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    return {r["form"]: r["count"] for r in counts.where(F.col("count") >= max(3.0, total * FORM_SHARE)).collect()}
+def defect(prompt: str | None, answer: str | None, profiles: Profiles) -> str | None:
+    return defects(prompt, [answer], profiles)[0]
 
 
-def pair_defects(df: DataFrame, id_col: str = "pair_id", prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+def pair_defects(df: DataFrame, profiles: Profiles | None = None, id_col: str = "pair_id", prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``(id_col, side, defect)``, one row per broken side of a pair.
 
     ``defect`` is empty, copied_prompt, refusal, other_language or truncated,
-    the first that holds. A null answer is empty; a null prompt is one without
-    a word, to which nothing is a copy and no language is foreign. Repeated rows
-    count once; rows that share an id but differ are all reported. An empty
-    table gives an empty result, other columns are ignored.
+    the first that holds. ``profiles`` tell languages of the Latin script apart
+    (``languages.fit_profiles``); without them only scripts do. A null answer is
+    empty; a null prompt is one without a word, to which nothing is a copy and
+    no language is foreign. Repeated rows count once; rows that share an id but
+    differ are all reported. An empty table gives an empty result, other columns
+    are ignored.
     """
     kind = dict(df.dtypes)[id_col]
-    sides = spread(df).select(
-        F.col(id_col).alias("id"), F.col(prompt).alias("prompt"),
-        F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("answer")) for side, c in (("chosen", chosen), ("rejected", rejected))])),
-    )
-    forms = _frequent_forms(sides)
-    sent = df.sparkSession.sparkContext.broadcast(forms)
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(prompt).alias("prompt"), F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected")))
+    sent = df.sparkSession.sparkContext.broadcast(profiles or Profiles())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
         for pdf in batches:
-            found = [defect(p, a, known) for p, a in zip(pdf["prompt"], pdf["answer"])]
-            out = pdf[["id", "side"]].assign(defect=pd.Series(found, index=pdf.index, dtype="object"))
-            yield out[out["defect"].notna()].rename(columns={"id": id_col})
+            out = []
+            for i, p, c, r in zip(pdf["id"], pdf["prompt"], pdf["chosen"], pdf["rejected"]):
+                out += [(i, side, found) for side, found in zip(("chosen", "rejected"), defects(p, [c, r], known)) if found]
+            yield pd.DataFrame(out, columns=[id_col, "side", "defect"])
 
-    return sides.mapInPandas(run, f"`{id_col}` {kind}, side string, defect string").distinct()
+    return rows.mapInPandas(run, f"`{id_col}` {kind}, side string, defect string").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.containers import chatml_size, container_report, fill_containers
+from textmill.llm.languages import fit_profiles
 from textmill.llm.leaks import leak_report, leaked_items
 from textmill.llm.mixture import mix_sources, mixture_report
 from textmill.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
@@ -42,7 +43,8 @@ def p2_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pair_defects(spark.read.parquet(f"{d}/preference_pairs.parquet"))
+    profiles = fit_profiles(spark.read.parquet(f"{d}/documents.parquet"))
+    return pair_defects(spark.read.parquet(f"{d}/preference_pairs.parquet"), profiles)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
