@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textmill.llm import queries
-from textmill.llm.sentences import dictionary, segment, sentence_units, word_path, DICTIONARY
+from textmill.llm import sentences as sn
+from textmill.llm.sentences import DICTIONARY, dictionary, segment, sentence_units
 
 # units are separated by a bar; blanks around it belong to the text
 TEXTS = [
@@ -80,8 +81,60 @@ def test_odd_texts(text):
 
 
 def test_word_path():
-    assert word_path("因为停了", dictionary(DICTIONARY))[0] == "因为" and "".join(word_path("種を調べた", dictionary(DICTIONARY))) == "種を調べた"
-    assert dictionary("/nowhere")  # the listed words are still there
+    words = dictionary(DICTIONARY)
+    assert words.path("因为停了")[0] == "因为" and "".join(words.path("種を調べた")) == "種を調べた"
+    assert words.path("问题在这里")[0] == "问题" and words.path("他问")[-1] == "问"
+    assert "".join(words.path("曲" * 3000)) == "曲" * 3000
+    with pytest.raises(FileNotFoundError):
+        dictionary("/nowhere")
+
+
+#: Gaps that only the words around them decide.
+WORDS = [
+    "“为什么停了？”他问。|问题在缓存里。", "“为什么停了？”|问题在缓存里。", "他说：“停下来。”|我们走了。", "“已经停了！”组长喊道，然后离开。", "“好。”|那时天黑了。",
+    "「止めよう。」という声が出た。|彼は去った。", "「止めよう。」|しかし誰も止めなかった。", "本当？と思った。", "疲れた…|でも続けた。", "学習率、種…を調べた。", "我们检查了……的记录。", "太晚了……|但是没有人走。",
+]
+
+
+@pytest.mark.parametrize("marked", WORDS)
+def test_words_decide(marked):
+    text, want = parts(marked)
+    assert [text[s:e] for s, e in segment(text)] == want
+
+
+#: Text whose cuts can't be told mark by mark.
+SPANS = [
+    "„Der Lauf steht. Wir brechen ab“, schrieb Varn.| Er ging.", 'He said "Stop it. Go home. It is late." and left.| Then it rained.', "(It ended. Nobody cared.)| The log (see Nr. 2. and 3.) is gone.", '"Stop it. Go home."| He left.| It rained.', 'He left. "Stop it," she said.'.replace("left. ", "left.| "),
+    "It rained... (Nobody cared.)| She left.".replace("... (", "...| ("), 'An open "quotation. It never ends.| So be it.'.replace("quotation. ", "quotation.| "),
+]
+
+
+@pytest.mark.parametrize("marked", SPANS)
+def test_spans_decide(marked):
+    text, want = parts(marked)
+    assert [text[s:e] for s, e in segment(text)] == want
+
+
+def _right(texts):
+    got = 0
+    for marked in texts:
+        text, want = parts(marked)
+        got += len(set(want) & {text[s:e] for s, e in segment(text)})
+    return got
+
+
+def test_both_lattices_matter(monkeypatch):
+    spans, words = _right(TEXTS + SPANS), _right(TEXTS + WORDS)
+    with monkeypatch.context() as m:
+        m.setattr(sn, "_best_path", lambda t, s, e, nodes: [n[0] for n in nodes if n[1] > 0])
+        assert _right(TEXTS + SPANS) <= spans - 15
+    with monkeypatch.context() as m:
+        m.setattr(sn, "_spaceless_gap", lambda t, s, i, k, e, words, prior, told=False: prior)
+        assert _right(TEXTS + WORDS) <= words - 8
+    with monkeypatch.context() as m:  # letters in place of words
+        m.setattr(sn.Words, "path", lambda self, run: list(run))
+        letters = _right(WORDS)
+    assert letters < _right(WORDS)
 
 
 def test_table(spark):

@@ -1,25 +1,28 @@
 """Sentence units of documents in spaced and spaceless scripts.
 
 Layout comes first: fenced code, headings, list entries and blank lines bound
-units. Inside a paragraph, quotations and brackets are paired and the gaps
-after end marks are scored.
-
-* Spaced scripts: the end marks of a paragraph are the nodes of a lattice. Each
-  has a score from its neighbourhood (abbreviations, initials, ordinals,
-  numbers, the word that follows, a quotation and how it was introduced); the
-  best path through the lattice gives the cuts, and spans without any letter or
-  digit are not allowed on it.
-* Spaceless scripts: where an end mark stands inside or beside a quotation or
-  is an ellipsis, the text around it is divided into words by the cheapest path
-  through a dictionary word lattice; final particles before the gap and opening
-  words after it decide. Line breaks always separate, and in Thai so does a
-  blank between two Thai characters.
+units. Inside a paragraph every end mark, and every quotation or bracket that
+closes behind one, is a node of a lattice.
+
+* Terminator lattice: an edge is the span between two nodes. It has the score of
+  the mark that ends it (abbreviations, initials, ordinals, numbers, the word
+  that follows), pays for each end that leaves a quotation or bracket open, needs
+  a letter or digit, and a closing quotation or bracket counts by what its span
+  holds before it: a reported quotation, a quotation of its own, a sentence in
+  brackets. The best path gives the cuts, wherever the edges are weighed against
+  each other, in time linear in the nodes.
+* Spaceless scripts: the runs of letters beside a mark are divided into words by
+  the cheapest path through a dictionary word lattice. Final particles before a
+  gap, and opening, carrying and reporting words after it, score the node; the
+  mark itself is only the prior. Line breaks always separate, and in Thai so
+  does a blank between two Thai characters.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -49,14 +52,22 @@ MAY_END = frozenset("etc usw usf u.s.w hrs hr min mins sec p.m a.m u.k u.s u.n e
 BEFORE_ORDINAL = frozenset("der die das den dem des am im vom zum zur beim jeder jede jedes ein eine einem einen einer ab bis seit nach und".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 #: Words that open a sentence, and words that carry one on, in zh and ja.
-OPENING = frozenset("因为 为什么 为何 如果 虽然 但是 然而 所以 因此 他在 她在 我们 他们 这 那 在 与 经过 直到 上线 之前 随后 接着 最后 首先 其次 见 当 曲线 なぜ しかし また そして ただし 次に 最後 まず この その 図 公開 各 乱数".split())
-CARRYING = frozenset("结果 却 但 就 才 又 而 并 は が を に へ と で も の や から まで より など って という とは として について だけ".split())
-#: Particles that end a sentence in zh and ja.
-FINAL = frozenset("了 吗 呢 吧 啊 呀 嘛 的 だ た か ね よ な です ます ない した である ました ません".split())
+OPENING = frozenset("因为 为什么 为何 如果 虽然 但是 然而 所以 因此 不过 我们 他们 她们 你们 他 她 它 我 你 这 那 之前 随后 接着 最后 首先 其次 此外 另外 今天 昨天 现在 后来 同时 なぜ しかし また そして ただし 次に 最後 まず この その あの さらに 一方 だから それで でも つまり".split())
+CARRYING = frozenset("结果 却 就 才 又 而 并 的 地 得 和 或 以及 等 等等 は が を に へ と で も の や から まで より など って という とは として について だけ とか".split())
+#: Carrying words that can't follow a finished sentence, whatever mark ended it.
+ATTACHED = frozenset("的 と って という とは を".split())
+#: Words that report what was said.
+REPORTING = frozenset("说 问 答 写 道 说道 问道 答道 写道 喊 喊道 叫道 回答 表示 指出 补充 解释 认为 称 告诉 心想 想 反问 追问 感叹 提醒 宣布".split())
+#: Words and particles that end a sentence in zh and ja.
+FINAL = frozenset("了 吗 呢 吧 啊 呀 嘛 的 过 着 だ た か ね よ な です ます ない した である ました ません だった でした".split())
 
 _HAN_KANA = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ々"
 _SPACELESS = re.compile(f"[{_HAN_KANA}฀-๿]")
+#: A particle with the beginning of the next word: an entry of the vocabulary, but no word.
+_GLUED = re.compile("[ぁ-ん][㐀-䶿一-鿿]")
 _CJK = re.compile(f"[{_HAN_KANA}]")
+_RUN = re.compile(f"[{_HAN_KANA}]+")
+_ENDS = ".!?…。！？．｡؟।॥۔"
 _LETTER = re.compile(r"[^\W\d_]")
 _LINE = re.compile(r"([^\r\n\x0b\x0c\x1c-\x1e\x85  ]*)(\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85  ]|$)")
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
@@ -66,77 +77,108 @@ _NUMBERED = re.compile(r"\s*(?:\d{1,3}[.)．、]|[a-zA-Z]\)|[(（]\d{1,3}[)）])
 _IDENTIFIER = re.compile(r"(?:[a-z]+(?:-[a-z]+)+-\d+|v\d+(?:\.\d+)+|[a-z_][\w]*\.[a-z]{1,8}|[b-df-hj-np-tv-z]{2,3})(?=[\s,;:)]|$)")
 _MARK = re.compile(r"[.!?…。！？．｡؟।॥۔]+|[\"“”„‟«»「」『』()（）\[\]【】]")
 _STRONG = "。！？｡؟।॥۔"
+_NUMBERING = re.compile(r"(?:[^\W\d_]+\s+)?(?:\d+|[A-Z]|[IVX]+)(?:\.\d+)*\.\s+")
+_THAI_BLANK = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _OPENERS = {"“": "”", "„": "“”", "‟": "”", "«": "»", "「": "」", "『": "』", "(": ")）", "（": "）)", "[": "]", "【": "】"}
 _CLOSERS = "”»」』)）]】"
 _BRACKETS = "(（[【"
 _STARTS = "“„«「『(（[【¿¡\""
 
 
-def _vocabulary(path: str) -> dict[str, float]:
-    """Word costs from the ranks of a public vocabulary; listed words are cheap."""
-    costs: dict[str, float] = {}
-    file = Path(path)
-    if file.exists():
-        for line in file.read_bytes().splitlines():
+class Words:
+    """Divides runs of spaceless scripts into words of a public vocabulary.
+
+    A word costs more the later its rank, an unknown letter more than any word;
+    the words that classify gaps are known whatever the vocabulary holds.
+    """
+
+    def __init__(self, path: str):
+        self.costs: dict[str, float] = {}
+        for line in Path(path).read_bytes().splitlines():
             token, _, rank = line.partition(b" ")
             try:
                 word = base64.b64decode(token).decode()
             except UnicodeDecodeError:
                 continue
-            if len(word) <= 8 and _SPACELESS.match(word) and all(_SPACELESS.match(c) for c in word):
-                costs[word] = 2.0 + min(int(rank), 50_000) / 25_000
-    for w in OPENING | CARRYING | FINAL:
-        costs[w] = min(costs.get(w, 9.0), 2.0)
-    return costs
+            if word and _RUN.fullmatch(word) and not _GLUED.search(word):
+                self.costs[word] = 2.0 + min(int(rank), 50_000) / 25_000
+        for w in OPENING | CARRYING | FINAL | REPORTING:
+            self.costs[w] = min(self.costs.get(w, 9.0), 2.0)
+        lengths: dict[str, set[int]] = {}
+        for w in self.costs:
+            lengths.setdefault(w[0], set()).add(len(w))
+        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+        self._seen: dict[str, list[str]] = {}
+
+    def path(self, run: str) -> list[str]:
+        """The cheapest path through the lattice of words over the whole run."""
+        got = self._seen.get(run)
+        if got is not None:
+            return got
+        n, costs, lengths = len(run), self.costs, self.lengths
+        best, back = [0.0] + [1e18] * n, [0] * (n + 1)
+        for i in range(n):
+            here = best[i]
+            if here + 6.0 < best[i + 1]:
+                best[i + 1], back[i + 1] = here + 6.0, i
+            for size in lengths.get(run[i], ()):
+                j = i + size
+                if j > n:
+                    break
+                c = costs.get(run[i:j])
+                if c is not None and here + c < best[j]:
+                    best[j], back[j] = here + c, i
+        out, j = [], n
+        while j:
+            out.append(run[back[j] : j])
+            j = back[j]
+        out.reverse()
+        if len(self._seen) > 20_000:
+            self._seen.clear()
+        if n <= 200:
+            self._seen[run] = out
+        return out
 
 
 @lru_cache(maxsize=4)
-def dictionary(path: str) -> dict[str, float]:
-    return _vocabulary(path)
-
-
-def word_path(text: str, costs: dict[str, float]) -> list[str]:
-    """The cheapest division of a spaceless run into words of the dictionary."""
-    n = len(text)
-    best, back = [0.0] + [1e18] * n, [0] * (n + 1)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + 8) + 1):
-            c = costs.get(text[i:j], 6.0 if j == i + 1 else 1e18)
-            if best[i] + c < best[j]:
-                best[j], back[j] = best[i] + c, i
-    out, j = [], n
-    while j:
-        out.append(text[back[j] : j])
-        j = back[j]
-    return out[::-1]
-
+def dictionary(path: str) -> Words:
+    return Words(path)
 
-def _run_after(text: str, k: int, e: int) -> str:
-    m = re.compile(f"[{_HAN_KANA}]{{1,12}}").match(text, k, e)
-    return m[0] if m else ""
 
-
-def _run_before(text: str, k: int, s: int) -> str:
+def _before(text: str, k: int, s: int, words: Words) -> list[str]:
+    """Words of the run that ends at k."""
     j = k
-    while j > s and k - j < 12 and _CJK.match(text[j - 1]):
+    while j > s and _CJK.match(text[j - 1]):
         j -= 1
-    return text[j:k]
+    return words.path(text[j:k]) if j < k else []
+
+
+def _after(text: str, k: int, e: int, words: Words) -> tuple[list[str], int]:
+    """Words of the run that begins at k, and where it ends."""
+    m = _RUN.match(text, k, e)
+    return (words.path(m[0]), m.end()) if m else ([], k)
 
 
-def _spaceless_gap(text: str, s: int, i: int, k: int, e: int, costs: dict[str, float], default: float) -> float:
-    """Score of a cut at k: opening words speak for it, carrying ones against."""
-    after, before = _run_after(text, k, e), _run_before(text, i, s)
+def _spaceless_gap(text: str, s: int, i: int, k: int, e: int, words: Words, prior: float, told: bool = False) -> float:
+    """Score of a cut between the run that ends at i and the one that begins at k.
+
+    ``told``: a quotation ends at the gap, and nothing has introduced it yet.
+    """
+    after, end = _after(text, k, e, words)
+    score = prior
     if after:
-        first = word_path(after, costs)[0]
-        if first in CARRYING:
-            return -3.0
-        if first in OPENING or after[:2] in OPENING or after[:3] in OPENING:
-            return 2.0
+        if after[0] in CARRYING:
+            score -= 5.0 if after[0] in ATTACHED else 3.0
+        elif after[0] in OPENING:
+            score += 1.0
+        if told and any(w in REPORTING for w in after) and text[end : end + 1] not in ("：", ":", "“", "「", "『"):
+            score -= 4.0
     elif k < e and text[k] in _STARTS:
-        return 2.0
-    if before and default > -1 and word_path(before, costs)[-1] in FINAL:
-        return default + 0.5
-    return default
+        score += 2.0
+    before = _before(text, i, s, words)
+    if before:
+        score += 0.5 if before[-1] in FINAL else -0.5
+    return score
 
 
 def _token_before(text: str, s: int, i: int) -> tuple[str, str]:
@@ -231,91 +273,106 @@ def _dot(text: str, s: int, i: int, k: int, e: int, spaced: bool, cased: bool) -
     return 3.0
 
 
-def _ellipsis(text: str, s: int, i: int, j: int, k: int, e: int, costs: dict[str, float]) -> float:
+def _ellipsis(text: str, s: int, i: int, j: int, k: int, e: int, words: Words) -> float:
     nxt = text[k]
     if _CJK.match(nxt) or (i > s and _CJK.match(text[i - 1])):
-        return _spaceless_gap(text, s, i, k, e, costs, -2.0)
+        return _spaceless_gap(text, s, i, k, e, words, 0.0)
     if k == j and not nxt.isupper() and nxt not in _STARTS:
         return -3.0
     rest = text[k : k + 40]
     return 2.0 if nxt.isupper() or nxt in _STARTS or nxt.isdigit() or (nxt.isalpha() and not nxt.islower()) or _IDENTIFIER.match(rest) else -2.0
 
 
-def _after_quote(text: str, s: int, opened: int, j: int, k: int, e: int, fresh: bool, costs: dict[str, float]) -> float:
-    """Score of a cut behind a quotation that ends with an end mark."""
+def _after_quote(text: str, s: int, opened: int, j: int, k: int, e: int, words: Words) -> tuple[float, float]:
+    """Scores of a cut behind a quotation that ends with an end mark: where text
+    goes before it in the span, and where the quotation opens the span."""
     nxt, h = text[k], opened
     while h > s and text[h - 1].isspace():
         h -= 1
     introduced = h > s and text[h - 1] in ":："
     if nxt in ",，、;；:：)）]—–-.。…!?" or (nxt.islower() and not (introduced and _IDENTIFIER.match(text[k : k + 40]))):
-        return -3.0
+        return -3.0, -3.0
     if _CJK.match(nxt):
-        return _spaceless_gap(text, s, j, k, e, costs, 2.0 if introduced else -2.0)
+        score = _spaceless_gap(text, s, j, k, e, words, 1.5, not introduced)
+        return score, score
     if introduced or nxt in _STARTS or nxt.isupper() or nxt.isdigit():
-        return 2.0
-    return -2.0 if fresh else 1.0
+        return 2.0, 2.0
+    return 1.0, -2.0
+
+
+#: What a span pays for an end inside a quotation or bracket.
+OPEN_END = 4.0
 
 
-def _best_path(text: str, s: int, e: int, gaps: list[tuple[int, float]]) -> list[int]:
-    """Cuts of the path of highest score through the lattice of gaps.
+def _best_path(text: str, s: int, e: int, nodes: list[tuple[int, float, float, int, bool]]) -> list[int]:
+    """Cuts of the path of highest score through the lattice of end marks.
 
-    Gaps of negative score are never on it. Edges lead only over text with a
-    letter or digit, so of several gaps with none between them the best one is
-    taken; one pass finds the path.
+    A node is (cut, score with text before its quotation, score without, where
+    that text ends, inside a quotation). Edges lead over text with a letter or
+    digit. The best way to each node comes from running maxima over the nodes
+    before it, so all edges are weighed in one pass.
     """
-    nodes = [g for g in gaps if g[1] > 0]
-    if not nodes:
+    cuts, value, best, back = [s], [0.0], [0], [0]  # value: of the path up to a node, its next open end paid
+    seen, last = s, -1  # the last letter before seen
+    for cut, told, fresh, edge, inside in nodes:
+        k = cut
+        while k > seen and not text[k - 1].isalnum():
+            k -= 1
+        seen, last = max(cut, seen), k - 1 if k > seen else last
+        score, origin = -1e18, 0
+        if last >= 0:
+            upto = bisect_right(cuts, last) - 1
+            split = upto
+            if told != fresh:
+                k = edge
+                while k > s and not text[k - 1].isalnum():
+                    k -= 1
+                split = bisect_right(cuts, k - 1) - 1 if k > s else -1
+                for n in range(upto, split, -1):
+                    if value[n] + fresh > score:
+                        score, origin = value[n] + fresh, n
+            if split >= 0 and value[best[split]] + told > score:
+                score, origin = value[best[split]] + told, best[split]
+        cuts.append(cut)
+        value.append(score - (2 * OPEN_END if inside else 0.0))
+        best.append(len(cuts) - 1 if value[-1] > value[best[-1]] else best[-1])
+        back.append(origin)
+    k = e
+    while k > s and not text[k - 1].isalnum():
+        k -= 1
+    if k == s:
         return []
-    back: list[int] = []
-    before, here = (0.0, -1), None  # best path to an earlier, and to this, group of gaps
-    words, last = 0, s
-    for k, (cut, score) in enumerate(nodes):
-        if any(c.isalnum() for c in text[last:cut]):
-            words += 1
-            if here is not None and here > before:
-                before = here
-            here = None
-        last = cut
-        back.append(before[1])
-        if words and (here is None or before[0] + score > here[0]):
-            here = (before[0] + score, k)
-    if here is not None and here > before and any(c.isalnum() for c in text[last:e]):
-        before = here
-    cuts, k = [], before[1]
-    while k >= 0:
-        cuts.append(nodes[k][0])
-        k = back[k]
-    return cuts[::-1]
-
-
-def _sentences(text: str, s: int, e: int, thai: bool, costs: dict[str, float]) -> list[int]:
+    n, out = best[bisect_right(cuts, k - 1) - 1], []
+    while n:
+        out.append(cuts[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _sentences(text: str, s: int, e: int, thai: bool, words: Words) -> list[int]:
     """Where the piece [s, e) of a paragraph is cut."""
     marks = list(_MARK.finditer(text, s, e))
-    blanks = [m for m in re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])").finditer(text, s, e)] if thai else []
+    blanks = [m for m in _THAI_BLANK.finditer(text, s, e)] if thai else []
     if not marks and not blanks:
         return []
-    pair = _pairs(text, s, e, [m for m in marks if m[0][0] not in ".!?…。！？．｡؟।॥۔"])
+    pair = _pairs(text, s, e, quoting) if (quoting := [m for m in marks if m[0][0] not in _ENDS]) else {}
     closing = {c: o for o, c in pair.items()}
     cased = any(c.isupper() for c in text[s:e]) or not any(c.islower() for c in text[s:e])
-    gaps: list[tuple[int, float]] = []
-    depth, start, inner = 0, s, -1
+    nodes: list[tuple[int, float, float, int, bool]] = []
+    depth, ended_at = 0, -1  # ended_at: the last closer with an end mark before it
 
     def skip(j: int) -> int:
         while j < e and text[j].isspace():
             j += 1
         return j
 
-    def propose(cut: int, score: float) -> None:
-        nonlocal start
-        gaps.append((cut, score))
-        if score > 0:
-            start = skip(cut)
+    def node(cut: int, told: float, fresh: float | None = None, edge: int = 0) -> None:
+        nodes.append((cut, told, told if fresh is None else fresh, edge, depth > 0))
 
     events = sorted([(m.start(), m.end(), "mark") for m in marks] + [(m.start(), m.end(), "blank") for m in blanks])
     for i, j, kind in events:
         if kind == "blank":
-            if not depth:
-                propose(i, 3.0)
+            node(i, 3.0)
             continue
         c = text[i]
         if i in pair:
@@ -323,29 +380,23 @@ def _sentences(text: str, s: int, e: int, thai: bool, costs: dict[str, float]) -
             continue
         if i in closing:
             depth -= 1
-            if depth:
-                continue
             k, opened = skip(j), closing[i]
             b = i
             while b > opened and text[b - 1].isspace():
                 b -= 1
-            ended = text[b - 1] in ".!?…。！？．｡؟।॥۔" or (text[b - 1] in _CLOSERS + '"' and inner == b - 1)
-            if k >= e or not ended:
+            if text[b - 1] not in _ENDS and ended_at != b - 1:
+                continue
+            ended_at = i
+            if k >= e:
                 continue
-            fresh = not any(x.isalnum() for x in text[start:opened])
             if text[opened] in _BRACKETS:
                 nxt = text[k]
-                if fresh and text[b - 1] != "…" and not nxt.islower() and nxt not in ",，、;；:：.。!?":
-                    propose(j, 2.0)
-                elif fresh and _IDENTIFIER.match(text[k : k + 40]):
-                    propose(j, 2.0)
+                alone = text[b - 1] != "…" and not nxt.islower() and nxt not in ",，、;；:：.。!?"
+                node(j, -3.0, 2.0 if alone or _IDENTIFIER.match(text[k : k + 40]) else -3.0, opened)
             elif k > j or not text[k].isascii() or text[k].isupper() or text[k] in _STARTS:
-                propose(j, _after_quote(text, s, opened, j, k, e, fresh, costs))
+                node(j, *_after_quote(text, s, opened, j, k, e, words), opened)
             continue
-        if c not in ".!?…。！？．｡؟।॥۔":
-            continue
-        if depth:
-            inner = i
+        if c not in _ENDS:
             continue
         while j < e and text[j] in "”»」』)）]】’\"" and j not in closing and j not in pair:
             j += 1
@@ -357,24 +408,29 @@ def _sentences(text: str, s: int, e: int, thai: bool, costs: dict[str, float]) -
         if thai and c in ".…":
             continue
         if any(x in _STRONG for x in run):
-            propose(j, 4.0 if nxt not in ",，、;；" else -2.0)
+            if nxt in ",，、;；":
+                continue
+            node(j, _spaceless_gap(text, s, i, k, e, words, 5.0 if c == "。" else 4.0) if _CJK.match(nxt) else 4.0)
         elif "?" in run or "!" in run:
             if nxt in ",，、;；:：)）":
                 continue
-            propose(j, 3.0 if k > j or nxt.isupper() or nxt in _STARTS or (nxt.isalpha() and not nxt.isascii() and not nxt.islower()) or (_CJK.match(text[i - 1] if i > s else " ") is not None) else -2.0)
+            node(j, 3.0 if k > j or nxt.isupper() or nxt in _STARTS or (nxt.isalpha() and not nxt.isascii() and not nxt.islower()) or (_CJK.match(text[i - 1] if i > s else " ") is not None) else -2.0)
         elif "…" in run or len(run.rstrip("”»」』)）]】’\"")) > 1:
-            propose(j, _ellipsis(text, s, i, j, k, e, costs))
+            node(j, _ellipsis(text, s, i, j, k, e, words))
         elif c == "．":
-            propose(j, 3.0 if not (k == j and nxt.isdigit() and i > s and text[i - 1].isdigit()) else -3.0)
+            node(j, 3.0 if not (k == j and nxt.isdigit() and i > s and text[i - 1].isdigit()) else -3.0)
         else:
-            propose(j, _dot(text, s, i, k, e, k > j, cased))
-    return _best_path(text, s, e, gaps)
+            node(j, _dot(text, s, i, k, e, k > j, cased))
+    return _best_path(text, s, e, nodes)
 
 
-def _title_like(text: str, s: int, e: int) -> bool:
-    """One short line without an end mark: a heading without a sign."""
+def _numbered_title(text: str, s: int, e: int) -> bool:
+    """A line without an end mark whose only inner marks are dots of its numbering."""
     body = text[s:e].strip()
-    return len(body) <= 60 and len(body.split()) <= 8 and body[-1:] not in ".!?…。！？．｡؟।॥۔\"”»」』)）"
+    if body[-1:] in _ENDS + "\"”»」』)）":
+        return False
+    numbering = _NUMBERING.match(body)
+    return bool(numbering) and not _MARK.search(body, numbering.end())
 
 
 def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
@@ -425,7 +481,7 @@ def _trim(text: str, s: int, e: int) -> tuple[int, int] | None:
     return (s, e) if s < e else None
 
 
-def segment(text: str | None, costs: dict[str, float] | None = None) -> list[tuple[int, int]]:
+def segment(text: str | None, words: Words | None = None) -> list[tuple[int, int]]:
     """Offsets of the sentence units of a text, in code points, end exclusive.
 
     Null, empty and blank texts have none. Units have no white space at their
@@ -433,7 +489,7 @@ def segment(text: str | None, costs: dict[str, float] | None = None) -> list[tup
     """
     if not text:
         return []
-    costs = costs if costs is not None else dictionary(DICTIONARY)
+    words = words or dictionary(DICTIONARY)
     units: list[tuple[int, int]] = []
 
     def add(s: int, e: int) -> None:
@@ -445,16 +501,16 @@ def segment(text: str | None, costs: dict[str, float] | None = None) -> list[tup
             add(s, e)
             continue
         body = text[s:e]
-        dense = len(_SPACELESS.findall(body))
-        spaceless = dense * 5 >= len(_LETTER.findall(body)) and dense > 0
+        dense = len(_SPACELESS.findall(body)) if max(body) >= "\u0e00" else 0
+        spaceless = dense > 0 and dense * 5 >= len(_LETTER.findall(body))
         thai = spaceless and bool(re.search(r"[฀-๿]", body))
         pieces = [(m.start(1), m.end(1)) for m in _LINE.finditer(text, s, e) if m.start(1) < m.end(1)] if spaceless else [(s, e)]
-        if len(pieces) == 1 and not spaceless and not re.search(r"[\r\n]", body.strip()) and _title_like(text, s, e):
+        if len(pieces) == 1 and not spaceless and not re.search(r"[\r\n]", body.strip()) and _numbered_title(text, s, e):
             add(s, e)
             continue
         for ps, pe in pieces:
             last = ps
-            for cut in _sentences(text, ps, pe, thai, costs):
+            for cut in _sentences(text, ps, pe, thai, words):
                 add(last, cut)
                 last = cut
             add(last, pe)
@@ -472,11 +528,11 @@ def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        costs = dictionary(dictionary_path)
+        words = dictionary(dictionary_path)
         for pdf in batches:
             ids, starts, ends = [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
-                for s, e in segment(text, costs):
+                for s, e in segment(text, words):
                     ids.append(i)
                     starts.append(s)
                     ends.append(e)
