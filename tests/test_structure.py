@@ -3,6 +3,7 @@
 import ast
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import filtering
@@ -27,6 +28,67 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_without_a_dependency(monkeypatch):
+    """Core queries stay when the subpackage, or something it needs, is missing."""
+    import importlib
+
+    import __spark_entry__ as e
+
+    def missing(name, *args):
+        raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="xxhash"):
+        names = set(e.queries())
+    assert "q_filter_pipeline" in names and not any(n.startswith("p") for n in names)
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    from textmill import runtime
+
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session())
+
+
+def test_scopes_delete_their_own_tables(spark):
+    from textmill import runtime
+
+    outer = runtime.materialize(spark.range(3), "outer")
+    with runtime.scope(spark):
+        inner = runtime.materialize(spark.range(4), "inner")
+        with runtime.scope(spark):
+            deepest = runtime.materialize(spark.range(2), "deepest")
+            assert deepest.count() == 2
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        runtime.materialize(spark.read.parquet(*inner.inputFiles()), "gone")
+    assert runtime.discard_tables(spark) >= 1
+
+
+def test_spread_runs_nothing(spark):
+    from textmill import runtime
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "")
+    runtime.spread(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not tracker.getJobIdsForGroup("spread")
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_stream_verdicts_equal_batch(spark, tiny, tmp_path):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))

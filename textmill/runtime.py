@@ -6,22 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Tables that this process has written to shared folders.
+#: Tables that this process has written to shared folders, outside of any scope.
 _WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("textmill_scope", default=None)
+#: Inputs under so many bytes a core are rebalanced.
+SMALL_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local sessions, tests) a temporary folder is made and registered.
+    A cluster names it in ``spark.checkpoint.dir``, and it is an error if it
+    does not. A local session without the setting gets a temporary folder.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         own = tempfile.mkdtemp(prefix="textmill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         given = "file://" + own
@@ -34,32 +42,56 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage like ``checkpoint()`` and survives the loss of executors,
     but stays columnar, so later stages read only the columns they use. The
-    table stays until ``discard_tables``.
+    table stays until its ``scope`` ends, or until ``discard_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    _WRITTEN.append(path)
+    held = _SCOPE.get()
+    (_WRITTEN if held is None else held).append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def discard_tables(spark: SparkSession) -> int:
-    """Delete what ``materialize`` has written, when no result needs it any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """The tables written inside are deleted at the end, and no others.
+
+    Results must have been written or collected by then. Scopes nest; those of
+    other threads are their own.
+    """
+    held: list[str] = []
+    token = _SCOPE.set(held)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _delete(spark, held)
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has written outside of scopes, when no result needs it any more."""
+    return _delete(spark, _WRITTEN)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that has fewer partitions than the session has cores.
+    """Rebalance a small input over the cores of the session.
 
-    One small file would run a Python stage on one core. Large inputs have more
-    splits than cores and pass unchanged, without a shuffle, as do streams.
+    One small file would run a Python stage on one core. How large an input is
+    comes from the statistics of its plan, which runs nothing. Large inputs
+    have more splits than cores and pass unchanged, without a shuffle, as do
+    streams.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
