@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, tiny, name):
 
 
 def test_every_query_without_sql_is_tested_otherwise():
-    assert set(catalogue.queries()) - set(SQL) == {"q_minhash_pairs", "q_minhash_keep", "q_bpe_roundtrip"}
+    assert set(catalogue.queries()) - set(SQL) == {"q_minhash_pairs", "q_minhash_keep"}

@@ -61,6 +61,15 @@ def _collected(merges: DataFrame) -> dict[tuple[int, int], int]:
     return {(r["left"], r["right"]): r["new_id"] for r in rows}
 
 
+def save_merges(merges: DataFrame, path: str) -> None:
+    """The table ``(left, right, new_id)`` as JSON lines, replaced as a whole."""
+    merges.select("left", "right", "new_id").orderBy("new_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_merges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("left int, right int, new_id int").json(path)
+
+
 def apply_merges(ids: list[int], table: dict[tuple[int, int], int], newest_first: bool) -> list[int]:
     """Merge the pair of highest (or lowest) id that is present, until none is.
 

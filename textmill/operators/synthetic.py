@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.operators.preference import generate, pick
+from textmill.runtime import materialize
 
 # The prompts.
 SELF_INSTRUCT_HEAD = "Below are instruction-response pairs. Generate a new instruction-response pair following the same style.\n\nExamples:\n"
@@ -97,7 +98,8 @@ def evol_instruct(base: DataFrame, id_col: str, iterations: int, make_generator,
         kind = pick(list(EVOLUTIONS), F.col(id_col), seed + k)
         asked = chosen.select(F.concat(F.col(id_col), F.lit(f"/{k}")).alias(id_col), F.lit(k).alias("round"), kind.alias("kind"), "response", evolution_prompt(F.col("instruction"), kind).alias("prompt"))
         new = asked.join(generate(asked, id_col, "prompt", make_generator, "text"), id_col).withColumn("instruction", tx.strip(continuation(F.col("text"), F.col("prompt"))))
-        have = have.unionByName(new.select(id_col, "round", "kind", "instruction", "response"))
+        # written, so that the parents of a later round are the rows that come out
+        have = have.unionByName(materialize(new.select(id_col, "round", "kind", "instruction", "response"), "evolved"))
     return have
 
 

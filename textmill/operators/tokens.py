@@ -66,26 +66,51 @@ def char_decode(ids: Column, itos: Column) -> Column:
 
 
 def split_path(path: str, want: str) -> str:
-    """The sibling file of the ``train`` or ``val`` split."""
-    stem, dot, ext = path.rpartition(".")
+    """The sibling file of the ``train`` or ``val`` split.
+
+    ``a_train.bin`` and ``a_val.bin`` stand for each other, as do ``train.bin``
+    and ``val.bin`` of a folder; any other name gets the split as its ending.
+    """
+    folder, slash, file = path.rpartition("/")
+    stem, dot, ext = file.rpartition(".")
+    if not dot:
+        stem, ext = file, ""
+    if stem in ("train", "val"):
+        return f"{folder}{slash}{want}{dot}{ext}"
     for tail in ("_train", "_val"):
         if stem.endswith(tail):
-            return f"{stem[: -len(tail)]}_{want}{dot}{ext}"
-    folder, slash, name = stem.rpartition("/")
-    if name in ("train", "val"):
-        return f"{folder}{slash}{want}{dot}{ext}"
-    return f"{stem}_val{dot}{ext}" if want == "val" else path
+            stem = stem[: -len(tail)]
+            break
+    return f"{folder}{slash}{stem}_{want}{dot}{ext}"
 
 
 def validate_token_files(spark: SparkSession, path: str, dtype: str = "uint16") -> DataFrame:
-    """``(path, size_bytes, num_tokens, dtype, sha256, problem)`` of token files."""
+    """``(path, size_bytes, num_tokens, dtype, sha256, problem)`` of token files.
+
+    Names come from the listing of the folder, or are those a pattern matches;
+    a file is digested as a stream where it lies, so its size doesn't matter.
+    Like the token source this needs a folder that is mounted everywhere.
+    """
     width = {"uint16": 2, "uint32": 4}[dtype]
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    # the reader passes over empty files: they come from the listing
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     listed = fs.listStatus(where) if fs.exists(where) and fs.getFileStatus(where).isDirectory() else fs.globStatus(where) or []
-    empty = [(s.getPath().toString(), 0, b"") for s in listed if s.isFile() and s.getLen() == 0]
-    files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
+    names = [(s.getPath().toString(), s.getLen()) for s in listed if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    files = spark.createDataFrame(names, "path string, length long").repartition(max(1, min(len(names), 1000)), "path")
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                sha = hashlib.sha256()
+                with open(p.removeprefix("file://").removeprefix("file:"), "rb") as f:
+                    while block := f.read(1 << 22):
+                        sha.update(block)
+                out.append(sha.hexdigest())
+            yield pdf.assign(sha256=out)
+
+    done = files.mapInPandas(digest, "path string, length long, sha256 string")
     problem = F.when(F.col("length") == 0, "empty").when(F.col("length") % width != 0, f"size is no multiple of {width}")
-    return files.select("path", F.col("length").alias("size_bytes"), F.floor(F.col("length") / width).alias("num_tokens"), F.lit(dtype).alias("dtype"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
+    return done.select("path", F.col("length").alias("size_bytes"), F.floor(F.col("length") / width).alias("num_tokens"), F.lit(dtype).alias("dtype"), "sha256", problem.alias("problem"))

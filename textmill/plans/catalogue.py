@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.plans import curation, experiments, sequences
+from textmill.plans import curation, experiments, roundtrips, sequences
 from textmill.plans.curation import curated_documents  # noqa: F401
 
-_PARTS = (curation, sequences, experiments)
+_PARTS = (curation, sequences, experiments, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -193,7 +193,9 @@ def q_noise_scale(spark: SparkSession, d: str) -> DataFrame:
 
 def q_config_grid(spark: SparkSession, d: str) -> DataFrame:
     """Variants of the runs' layer counts, and their rules."""
-    layers = [str(r["n_layer"]) for r in _runs(spark, d).where("n_layer is not null").select("n_layer").distinct().orderBy("n_layer").limit(1000).collect()]
+    layers = [str(r["n_layer"]) for r in _runs(spark, d).where("n_layer is not null").select("n_layer").distinct().orderBy("n_layer").limit(1001).collect()]
+    if len(layers) > 1000:
+        raise ValueError("a grid is a short list")
     grid = configs.mutate(configs.baseline(spark), "depth", layers or ["12"])
     return grid.select("name", F.col("model_args.n_layer").alias("n_layer"), F.col("_metadata.generation").alias("generation"), F.size(configs.run_violations()).cast("long").alias("violations"))
 

@@ -113,7 +113,7 @@ def q_bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     merges = bpe.merges_of_ranks(spark, RANKS)
     ids = bpe.encode(documents(spark, d).select("doc_id", "text"), "text", merges, order="rank")
     back = bpe.decode(ids, "ids", merges, out_col="back")
-    return back.select("doc_id", F.size("ids").alias("n_ids"), F.octet_length("text").alias("n_bytes"), "unknown_ids", (F.col("back").eqNullSafe(F.col("text"))).alias("same"))
+    return back.select("doc_id", (F.size("ids") <= F.octet_length("text")).alias("no_longer"), F.octet_length("text").alias("n_bytes"), "unknown_ids", (F.col("back").eqNullSafe(F.col("text"))).alias("same"))
 
 
 ROLE = "CASE coalesce(m.role, 'unknown') WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.role, 'unknown') END"
@@ -134,6 +134,7 @@ QUERIES = {
     "q_stage_for_epoch": q_stage_for_epoch, "q_token_windows": q_token_windows, "q_stream_windows": q_stream_windows, "q_mixture_schedule": q_mixture_schedule, "q_configured_pipeline": q_configured_pipeline, "q_replacement_draws": q_replacement_draws, "q_bpe_pairs": q_bpe_pairs, "q_bpe_roundtrip": q_bpe_roundtrip,
 }
 ORACLES = {
+    "q_bpe_roundtrip": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE true END AS no_longer, strlen(text) AS n_bytes, CASE WHEN text IS NOT NULL THEN 0 END AS unknown_ids, true AS same FROM documents",
     "q_chatml": C + f" SELECT conv_id, {CHATML} AS rendered FROM c",
     "q_llama3": C + f""" SELECT conv_id, '<|begin_of_text|>' || coalesce(array_to_string(list_transform(messages, lambda m: '<|start_header_id|>' || {ROLE} || '<|end_header_id|>' || chr(10) || chr(10) || coalesce(m.content, '') || '<|eot_id|>'), ''), '') AS rendered FROM c""",
     "q_alpaca": C + f""" SELECT conv_id, CASE WHEN len(messages) < 2 THEN '' ELSE '{chat.ALPACA_HEAD.strip()}' || chr(10) || chr(10) || '### Instruction:' || chr(10) || coalesce(messages[1].content, '') || chr(10) || chr(10) || '### Response:' || chr(10) || coalesce(messages[2].content, '') END AS rendered FROM c""",
