@@ -7,6 +7,9 @@ the partitions before. Only the counts, one number a partition, meet.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,21 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
 
 
+def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its 0-based place in ``order`` within each group, null keys included.
+
+    Ranks over the whole table less the first one of the group: no task gets a
+    whole group, however large.
+    """
+    ranked = global_rank(df, [*[F.asc(c) for c in by], *order], "_place")
+    if not by:
+        return ranked.withColumnRenamed("_place", name)
+    keys = [f"_key{i}" for i in range(len(by))]
+    first = ranked.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.min("_place").alias("_first"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)])
+    return ranked.join(first, same).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", *keys)
+
+
 def order_by_difficulty(df: DataFrame, score: Column, pos_col: str, reverse: bool = False, name: str = "rank") -> DataFrame:
     """``df`` with ``difficulty`` and its rank; ties keep the input order either way."""
     scored = df.withColumn("difficulty", score.cast("double"))

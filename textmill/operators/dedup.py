@@ -145,28 +145,38 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str, seen: DataFrame |
     """``(id_col, kept)``: in order of id, drop what is similar to an earlier kept one.
 
     Not a matter of connected components: in a chain A~B~C where A and C differ,
-    A and C stay. Settled in rounds, each a join that is written out: what has
-    a kept earlier neighbour is dropped, what has only dropped ones is kept.
+    A and C stay. Settled in rounds over what is still undecided: what has an
+    earlier neighbour kept in the last round is dropped, what then waits for
+    nobody is kept. Ids without pairs take no part in them.
     ``seen(id)`` are ids kept before.
     """
-    state = ids.select(F.col(id_col).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    if seen is not None:
-        state = state.join(seen.select("id").distinct().withColumn("old", F.lit(True)), "id", "left").select("id", F.col("old").alias("kept"))
-    edges = pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct()
-    edges = materialize(edges, "edges")
-    linked = edges.select(F.col("late").alias("id")).distinct().withColumn("linked", F.lit(True))
-    state = materialize(state.join(linked, "id", "left").select("id", F.coalesce("kept", F.when(F.col("linked").isNull(), True)).alias("kept")), "keep")
+    everyone = ids.select(F.col(id_col).alias("id")).distinct()
+    edges = materialize(pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct(), "edges")
+    linked = edges.select(F.col("late").alias("id")).distinct()
+    # what nobody earlier is similar to stays, and so does what was kept before
+    first = edges.select(F.col("early").alias("id")).distinct().join(linked, "id", "left_anti")
+    old = None if seen is None else seen.select("id").distinct()
+    kept = first if old is None else first.union(old).distinct()
+    open_ = linked if old is None else linked.join(old, "id", "left_anti")
+    kept, open_, dropped = materialize(kept, "keep"), materialize(open_, "open"), None
+    newly = kept
     for _ in range(max_rounds):
-        if not state.where("kept is null").limit(1).count():
+        # only edges between what is undecided, and from what was decided last, go on
+        hit = materialize(edges.join(newly.withColumnRenamed("id", "early"), "early").select(F.col("late").alias("id")).distinct().join(open_, "id", "left_semi"), "hit")
+        dropped = hit if dropped is None else dropped.union(hit)
+        open_ = materialize(open_.join(hit, "id", "left_anti"), "open")
+        if not open_.limit(1).count():
+            break
+        edges = materialize(edges.join(open_.withColumnRenamed("id", "late"), "late", "left_semi"), "edges")
+        waiting = edges.join(open_.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
+        newly = materialize(open_.join(waiting, "id", "left_anti"), "keep")
+        open_ = materialize(open_.join(newly, "id", "left_anti"), "open")
+        if not open_.limit(1).count():
             break
-        before = edges.join(state.select(F.col("id").alias("early"), F.col("kept").alias("was")), "early").groupBy(F.col("late").alias("id")).agg(
-            F.max(F.coalesce(F.col("was"), F.lit(False))).alias("hit"), F.max(F.col("was").isNull()).alias("open")
-        )
-        now = F.when(F.col("hit"), F.lit(False)).when(~F.col("open"), F.lit(True))
-        state = materialize(state.join(before, "id", "left").select("id", F.coalesce("kept", now).alias("kept")), "keep")
     else:
         raise RuntimeError(f"not settled after {max_rounds} rounds")
-    return state.select(F.col("id").alias(id_col), "kept")
+    lost = dropped if dropped is not None else everyone.limit(0)
+    return everyone.join(lost.distinct().withColumn("_lost", F.lit(True)), "id", "left").select(F.col("id").alias(id_col), F.col("_lost").isNull().alias("kept"))
 
 
 def minhash_dedupe(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, hashes: int = 128, size: int = 3, hash_name: str = "xxhash64") -> DataFrame:

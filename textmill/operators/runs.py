@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.curriculum import global_rank, rank_within
+
 METRIC_LINE = r"train loss ([\d.]+).*val loss ([\d.]+)"
 
 
@@ -37,12 +41,15 @@ def has_val(log: DataFrame) -> DataFrame:
 def sweep_rank(runs: DataFrame, name_col: str, score_col: str | None = None, loss_col: str = "val_loss", status_col: str = "status", by: list[str] | None = None) -> DataFrame:
     """Successful runs with their rank: by score falling (none is 0), else by loss rising.
 
-    Ties rank by name. Runs that failed or have no loss are left out. One group
-    is a sweep, whose runs fit a task.
+    Ties rank by name. Runs that failed or have no loss are left out. A group of
+    ``by`` is a sweep, whose runs fit a task; without it the whole table is
+    ranked in ranges.
     """
     ok = runs.where((F.col(status_col) == "success") & F.col(loss_col).isNotNull())
     key = F.desc(F.coalesce(F.col(score_col), F.lit(0.0))) if score_col else F.asc(loss_col)
-    return ok.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(key, F.asc(name_col))))
+    if not by:
+        return global_rank(ok, [key, F.asc(name_col)]).withColumn("rank", F.col("rank") + 1)
+    return ok.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(key, F.asc(name_col))))
 
 
 def compare(base_loss: Column, other_loss: Column) -> Column:
@@ -74,7 +81,7 @@ def ema(log: DataFrame, by: list[str], value_col: str, order_col: str = "iter",
     1e-18 are not carried. Null values are left out.
     """
     rows = log.where(F.col(value_col).isNotNull()).select(*by, F.col(order_col).alias("_o"), F.col(value_col).cast("double").alias("_v"))
-    numbered = rows.withColumn("_t", F.row_number().over(Window.partitionBy(*by).orderBy("_o")) - 1).withColumn("_chunk", F.floor(F.col("_t") / chunk))
+    numbered = rank_within(rows, by, [F.asc("_o")], "_t").withColumn("_chunk", F.floor(F.col("_t") / chunk))
     part = numbered.groupBy(*by, "_chunk").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"), F.col("_v").alias("v")))).alias("_xs"))
     start = F.array().cast("array<struct<t:int,o:bigint,v:double,a:double>>")
 
@@ -92,22 +99,53 @@ def ema(log: DataFrame, by: list[str], value_col: str, order_col: str = "iter",
     return carried.select(*by, F.col("_x.o").alias(order_col), F.col("_x.v").alias("value"), (a / (1 - F.pow(F.lit(beta), F.col("_x.t") + 1))).alias("ema"))
 
 
+#: Rows of a stretch of a curve.
+STRETCH = 4096
+
+
+def _stretches(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` in stretches of each group, with the neighbours of their ends.
+
+    ``_home`` marks the rows of a stretch itself; each row is home in one.
+    """
+    numbered = rank_within(df, by, [F.asc(order)], "_t").withColumn("_own", F.floor(F.col("_t") / STRETCH))
+    edge = F.col("_t") % STRETCH
+    also = F.when((edge == 0) & (F.col("_t") > 0), F.array(F.col("_own") - 1)).when(edge == STRETCH - 1, F.array(F.col("_own") + 1)).otherwise(F.array().cast("array<bigint>"))
+    return numbered.withColumn("_part", F.explode(F.concat(F.array("_own"), also))).withColumn("_home", F.col("_part") == F.col("_own"))
+
+
 def gradient(df: DataFrame, by: list[str], x: str, y: str, order: str) -> DataFrame:
-    """``df`` with ``slope``: second-order differences on an uneven grid, one-sided at the ends."""
-    w = Window.partitionBy(*by).orderBy(order)
+    """``df`` with ``slope``: second-order differences on an uneven grid, one-sided at the ends.
+
+    Works on stretches of a group, so one task never has a whole curve.
+    """
+    w = Window.partitionBy(*by, "_part").orderBy("_t")
     hs, hd = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
     back, ahead = F.col(y) - F.lag(y).over(w), F.lead(y).over(w) - F.col(y)
     inner = (hs * hs * F.lead(y).over(w) + (hd * hd - hs * hs) * F.col(y) - hd * hd * F.lag(y).over(w)) / (hs * hd * (hs + hd))
-    return df.withColumn("slope", F.when(hs.isNull(), ahead / hd).when(hd.isNull(), back / hs).otherwise(inner))
+    sloped = _stretches(df, by, order).withColumn("slope", F.when(hs.isNull(), ahead / hd).when(hd.isNull(), back / hs).otherwise(inner))
+    return sloped.where("_home").select(*df.columns, "slope")
 
 
 def until_divergence(df: DataFrame, by: list[str], loss: str, step: str, factor: float = 4.0, grace: int = 10) -> DataFrame:
-    """Steps up to and with the first that is NaN, infinite or far above the best."""
-    w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    """Steps up to and with the first that is NaN, infinite or far above the best.
+
+    The best so far is that of the stretches before and of the rows before in
+    the own one; only one row a stretch meets the others of its group.
+    """
+    rows = rank_within(df, by, [F.asc(step)], "_t").withColumn("_part", F.floor(F.col("_t") / STRETCH))
     v = F.col(loss)
-    bad = F.isnan(v) | (F.abs(v) == float("inf")) | ((v > F.min(F.when(~F.isnan(v), v)).over(w) * factor) & (F.col(step) > grace))
-    end = F.min(F.when(bad, F.col(step))).over(w)
-    return df.withColumn("_end", end).where(F.col("_end").isNull() | (F.col(step) <= F.col("_end"))).drop("_end")
+    sound = F.when(~F.isnan(v), v)
+    ends = rows.groupBy(*by, "_part").agg(F.min(sound).alias("_least"))
+    before = ends.withColumn("_before", F.min("_least").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    own = F.min(sound).over(Window.partitionBy(*by, "_part").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
+    keys = [*by, "_part"]
+    met = rows.join(before.withColumnsRenamed({k: f"_b{k}" for k in keys}), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys]))
+    bad = F.isnan(v) | (F.abs(v) == float("inf")) | ((v > F.least(own, F.col("_before")) * factor) & (F.col(step) > grace))
+    judged = met.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    stop = judged.where("_bad").groupBy(*[F.col(k).alias(f"_s{k}") for k in by]).agg(F.min("_t").alias("_end"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in by]) if by else F.lit(True)
+    return judged.join(stop, same, "left").where(F.col("_end").isNull() | (F.col("_t") <= F.col("_end"))).select(*df.columns)
 
 
 def lr_finder(df: DataFrame, by: list[str], lr: str, loss: str, step: str) -> DataFrame:

@@ -53,7 +53,12 @@ def q_pack_efficiency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return curriculum.order_by_difficulty(_sequences(spark, d), curriculum.length_score(F.col("tokens")), "doc_id").drop("tokens")
+    return curriculum.order_by_difficulty(_lengths(spark, d), F.col("length"), "doc_id").drop("length")
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    """What a rank needs; the tokens stay where they are."""
+    return _sequences(spark, d).select("doc_id", curriculum.length_score(F.col("tokens")).alias("length"))
 
 
 def _staged(kind: str):
@@ -65,7 +70,7 @@ def _staged(kind: str):
 
 
 def q_hardest_first(spark: SparkSession, d: str) -> DataFrame:
-    return curriculum.order_by_difficulty(_sequences(spark, d), curriculum.length_score(F.col("tokens")), "doc_id", reverse=True).select("rank", "doc_id")
+    return curriculum.order_by_difficulty(_lengths(spark, d), F.col("length"), "doc_id", reverse=True).select("rank", "doc_id")
 
 
 def q_stage_for_epoch(spark: SparkSession, d: str) -> DataFrame:
